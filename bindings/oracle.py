@@ -317,7 +317,7 @@ ORACLE = {
     select *, {STATIC_INDEX.format(c='category')} as chain_index from routed""",
     "spaced_sequence": "select doc_id, array_to_string(string_split(text, ''), ' ') as spaced from documents",
     "encode_tokens": fr"""with plain as (
-        select doc_id, regexp_replace(text, '{NOT_A_TOKEN}', '', 'g') as body from documents),
+        select doc_id, regexp_replace(text, '[{NOT_A_TOKEN}]+', '', 'g') as body from documents),
     letters as (select distinct unnest(string_split(body, '')) as ch from plain),
     codes as (select ch, row_number() over (order by ch) - 1 + 5 as id from letters where ch <> ''),
     cut as (select doc_id, list_filter(string_split(substr(body, 1, 98), ''), lambda c: c <> '') as chars from plain),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.functions import losses, vectors
 from strandline.functions.hashing import digest, seeded_parameters, unit
-from strandline.functions.text import length_bin, spaced, stratum_key, tidy_category
+from strandline.functions.text import length_bin, residue_counts, spaced, stratum_key, tidy_category
 from strandline.operators import (
     balance, clean, consistency, encode, heads, history, metrics, pooling, score, split, union,
     vocab)
@@ -163,8 +163,8 @@ def spaced_sequence(spark, sf_dir):
 
 def encode_tokens(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    letters = docs.select(F.explode(F.array_distinct(F.split(
-        F.regexp_replace("text", encode.NOT_A_TOKEN, ""), ""))).alias("letter")).where("letter != ''")
+    letters = docs.select(F.explode(F.array_distinct(F.split("text", ""))).alias("letter")).where(
+        ~F.col("letter").rlike(f"^[{encode.NOT_A_TOKEN}]*$"))
     tokens = settle(vocab.build_vocab(letters, "letter").where(
         ~F.col("value").isin(vocab.RESERVED)).select(
         F.col("value").alias("token"), (F.col("idx") + encode.FIRST_RESIDUE).alias("id")))
@@ -400,7 +400,7 @@ def train_kfold(spark, sf_dir):
 def train_holdout(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("Label"))
     rows = _table(spark, sf_dir, "documents").join(labels, "doc_id").withColumn(
-        "counts", training.residue_counts(F.upper("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        "counts", residue_counts(F.col("text"), "abcdefghijklmnopqrstuvwxyz"))
     return training.train_holdout(
         rows, "doc_id", F.col("counts"), "Label", _bin_stratum()).report
 

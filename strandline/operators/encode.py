@@ -35,7 +35,10 @@ def encode_tokens(
     packed = tokens.agg(F.sort_array(F.collect_list(F.struct("token", "id"))).alias("t")).select(
         F.struct(F.concat_ws("", F.col("t.token")).alias("chars"),
                  F.concat(F.array(F.lit(unk)), F.col("t.id")).alias("ids")))
-    body = F.substring(F.regexp_replace(F.col(sequence), NOT_A_TOKEN, ""), 1, max_len - 2)
+    # The pattern walks to the last token that fits, wherever in the text that is, and stops.
+    needed = F.regexp_extract(
+        F.col(sequence), f"^(?>[{NOT_A_TOKEN}]*+[^{NOT_A_TOKEN}]){{0,{max_len - 2}}}+", 0)
+    body = F.regexp_replace(needed, f"[{NOT_A_TOKEN}]+", "")
     filled = F.size("__c") + 2
     coded = F.transform("__c", lambda c: F.element_at(
         F.col("__tokens.ids"), F.instr(F.col("__tokens.chars"), c) + 1))

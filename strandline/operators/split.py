@@ -9,10 +9,12 @@ final scan compares.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.hashing import digest
-from strandline.plans.sizing import left_lookup, lookup_side, settle
+from strandline.plans.sizing import BROADCAST_BYTES, fits_broadcast, left_lookup, settle
 
 PREFIX_DIGITS = 3  # 4096 buckets per stratum
 
@@ -40,7 +42,8 @@ def stratum_sizes(counts: DataFrame) -> DataFrame:
 
 
 def _cut_values(
-    keyed: DataFrame, counts: DataFrame, quotas: DataFrame
+    keyed: DataFrame, counts: DataFrame, quotas: DataFrame,
+    small: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Per stratum the array of the (hash, key) pairs that end each part but the last."""
     upto = Window.partitionBy(_STRATUM).orderBy(_PREFIX).rowsBetween(
@@ -49,20 +52,17 @@ def _cut_values(
         "__start", F.col("__end") - F.col("rows"))
     ends = quotas.select(
         F.col("stratum").alias(_STRATUM), "n", F.posexplode("ends").alias("__part", "__rank"))
-    located = left_lookup(
-        ends, lookup_side(spans.drop("rows")), [_STRATUM], "inner"
-    ).where((F.col("__rank") > F.col("__start")) & (F.col("__rank") <= F.col("__end"))
-            & (F.col("__rank") < F.col("n")))
-    cuts = settle(located.select(
-        _STRATUM, _PREFIX, "__part", (F.col("__rank") - F.col("__start")).alias("__local")))
+    cuts = left_lookup(ends, spans.drop("rows"), [_STRATUM], "inner").where((F.col("__rank") > F.col("__start")) & (F.col("__rank") <= F.col("__end"))
+            & (F.col("__rank") < F.col("n"))).select(
+        _STRATUM, _PREFIX, "__part", (F.col("__rank") - F.col("__start")).alias("__local"))
 
     within = Window.partitionBy(_STRATUM, _PREFIX).orderBy(_HASH, _KEY)
-    holders = lookup_side(cuts.select(_STRATUM, _PREFIX).distinct())
+    holders = small(cuts.select(_STRATUM, _PREFIX).distinct())
     ranked = left_lookup(
         keyed.select(_STRATUM, _PREFIX, _HASH, _KEY), holders, [_STRATUM, _PREFIX], "inner"
     ).withColumn("__local", F.row_number().over(within).cast("long"))
     found = left_lookup(
-        ranked, lookup_side(cuts), [_STRATUM, _PREFIX, "__local"], "inner"
+        ranked, small(cuts), [_STRATUM, _PREFIX, "__local"], "inner"
     ).select(_STRATUM, "__part", F.struct(
         F.col(_HASH).alias("h"), F.col(_KEY).alias("k")).alias("__cut"))
 
@@ -87,7 +87,10 @@ def assign_parts(
     but the last. ``key`` has to be unique.
     """
     keyed = _keyed(df, stratum, key, seed, digits)
-    cuts = lookup_side(_cut_values(keyed, counts, quotas))
+    # Every table joined below has at most one row per stratum and part.
+    fits = fits_broadcast(quotas, BROADCAST_BYTES // (4 * n_parts))
+    small = F.broadcast if fits else (lambda table: table)
+    cuts = small(_cut_values(keyed, counts, quotas, small))
     me = F.struct(F.col(_HASH).alias("h"), F.col(_KEY).alias("k"))
     part = F.lit(0)
     for i in range(n_parts - 1):
@@ -120,12 +123,11 @@ def stratified_kfold(
 ) -> DataFrame:
     """Add the fold number; fold sizes of a stratum differ by one row at most."""
     counts = prefix_counts(df, stratum, key, seed, digits)
-    sizes = settle(stratum_sizes(counts))
-    biggest = sizes.agg(F.max("n")).first()[0]
+    quotas = settle(fold_quotas(stratum_sizes(counts), k))
+    biggest = quotas.agg(F.max("n")).first()[0]
     if biggest is not None and biggest < k:
         raise ValueError(f"no stratum has {k} rows, so {k} folds cannot be made")
-    return assign_parts(df, stratum, key, counts, settle(fold_quotas(sizes, k)), k, name,
-                        seed, digits)
+    return assign_parts(df, stratum, key, counts, quotas, k, name, seed, digits)
 
 
 def _share(table: DataFrame, size: str, take: Column, of: Column, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.functions.text import stratum_key
-from strandline.operators.vocab import NULL_CATEGORY, category_index
+from strandline.operators.vocab import NULL_CATEGORY, category_index, reserved_index
 
 
 def mixed_union(
@@ -17,10 +17,9 @@ def mixed_union(
     Rows of ``plain`` have no category column (it becomes null) and get the index of
     the reserved null category.
     """
-    null_index = vocab.where(F.col("value") == NULL_CATEGORY).agg(F.max("idx")).first()[0] or 0
     first = category_index(categorised, category, vocab).withColumn("is_lipo", F.lit(1.0))
     second = plain.drop(category).withColumns(
-        {"chain_index": F.lit(null_index), "is_lipo": F.lit(0.0)})
+        {"chain_index": reserved_index(vocab, NULL_CATEGORY), "is_lipo": F.lit(0.0)})
     return first.unionByName(second, allowMissingColumns=True).withColumn(
         label, F.col(label).cast("int"))
 

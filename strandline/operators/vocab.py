@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.plans.running import HOT_ROWS, dense_position
 from strandline.plans.sizing import left_lookup, lookup_side, settle
@@ -12,16 +12,17 @@ NULL_CATEGORY = "NULL"
 RESERVED = [UNKNOWN, NULL_CATEGORY]
 
 
-def _with_reserved(numbered: DataFrame, size: int) -> DataFrame:
-    reserved = numbered.sparkSession.createDataFrame(
-        [(word, size + i) for i, word in enumerate(RESERVED)], "value string, idx int")
+def _with_reserved(numbered: DataFrame) -> DataFrame:
+    words = F.posexplode(F.array(*map(F.lit, RESERVED))).alias("__at", "value")
+    reserved = numbered.agg(F.count(F.lit(1)).alias("__size")).select("__size", words).select(
+        "value", (F.col("__size") + F.col("__at")).cast("int").alias("idx"))
     return numbered.where(~F.col("value").isin(RESERVED)).unionByName(reserved)
 
 
 def static_vocab(spark: SparkSession, values: list[str]) -> DataFrame:
     """Dictionary of a given list, sorted as text."""
     rows = [(v, i) for i, v in enumerate(sorted(values))]
-    return _with_reserved(spark.createDataFrame(rows, "value string, idx int"), len(rows))
+    return _with_reserved(spark.createDataFrame(rows, "value string, idx int"))
 
 
 def build_vocab(df: DataFrame, category: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -30,8 +31,12 @@ def build_vocab(df: DataFrame, category: str, hot_rows: int = HOT_ROWS) -> DataF
                       .where(F.col("value").isNotNull()).distinct())
     numbered = dense_position(
         distinct.withColumn("__all", F.lit(0)), ["__all"], [F.col("value")], "idx", hot_rows)
-    return _with_reserved(
-        numbered.select("value", F.col("idx").cast("int").alias("idx")), distinct.count())
+    return _with_reserved(numbered.select("value", F.col("idx").cast("int").alias("idx")))
+
+
+def reserved_index(vocab: DataFrame, word: str) -> Column:
+    """Index of a reserved word as a scalar subquery; 0 when the dictionary lacks it."""
+    return F.coalesce(vocab.where(F.col("value") == word).agg(F.max("idx")).scalar(), F.lit(0))
 
 
 def category_index(
@@ -39,6 +44,6 @@ def category_index(
 ) -> DataFrame:
     """Add the dictionary index of a category; unknown and null values get ``<UNK>``."""
     words = lookup_side(vocab.select(F.col("value").alias(category), F.col("idx").alias(name)))
-    unknown = vocab.where(F.col("value") == UNKNOWN).agg(F.max("idx")).first()[0] or 0
+    unknown = reserved_index(words.toDF("value", "idx"), UNKNOWN)
     return left_lookup(df, words, [category]).withColumn(
-        name, F.coalesce(F.col(name), F.lit(unknown)))
+        name, F.coalesce(F.col(name), unknown))

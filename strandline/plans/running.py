@@ -14,10 +14,13 @@ Measures = dict[str, tuple[str, Column]]
 
 
 def hot_groups(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Groups with more than ``hot_rows`` rows, or None when there is none."""
-    sizes = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
-                   .where(F.col("__rows") > hot_rows))
-    return None if sizes.isEmpty() else sizes
+    """Groups with more than ``hot_rows`` rows, or None when there is none.
+
+    There are at most (all rows / ``hot_rows``) of them. The counts are combined map-side.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(
+        F.col("__rows") > hot_rows)
+    return None if sizes.isEmpty() else settle(sizes)
 
 
 def _windowed(df, partition, order, measures, inclusive):

@@ -49,6 +49,14 @@ def lookup_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(settled) if fits_broadcast(settled, max_bytes) else settled
 
 
+def bounded_side(df: DataFrame, parent: DataFrame, factor: int = 1) -> DataFrame:
+    """Hint a broadcast for a table with at most ``factor`` small rows per ``parent`` row.
+
+    The settled parent's size is the proof, so ``df`` itself is not computed twice.
+    """
+    return F.broadcast(df) if fits_broadcast(parent, BROADCAST_BYTES // factor) else df
+
+
 def left_lookup(
     df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:

@@ -8,16 +8,17 @@ checkpoint and the reports are the point here.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandline.functions.losses import argmax_rule, softmax_positive
 from strandline.functions.text import stratum_key
+from strandline.operators.heads import linear_head, row_head
 from strandline.operators.history import best_checkpoint
 from strandline.operators.metrics import COUNT_METRICS, CURVE_METRICS, metric_bundle
 from strandline.operators.split import stratified_kfold, stratified_split
@@ -25,9 +26,10 @@ from strandline.operators.union import sample_group
 from strandline.plans.sizing import left_lookup, lookup_side, settle
 from strandline.sources.models import MODEL_SCHEMA, model_rows
 
-GRID = (0.0, 0.01, 0.1)  # regularisation strengths, tried in this order
+GRID = (0.01, 0.1)  # regularisation strengths, tried in this order
 ITERATIONS = 20
-PARALLEL_FITS = 4
+TOLERANCE = 1e-4
+PARALLEL_FITS = 8
 
 
 @dataclass
@@ -39,18 +41,11 @@ class Training:
     report: DataFrame
 
 
-def feature_vector(features: Column, index: Column, categories: int) -> Column:
-    """MLlib vector of the features followed by the one-hot category index."""
+def with_category(features: Column, index: Column, categories: int) -> Column:
+    """The features followed by the one-hot category index."""
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(categories - 1)),
                           lambda i: (i == index).cast("double"))
-    return array_to_vector(F.concat(features.cast("array<double>"), one_hot))
-
-
-def residue_counts(sequence: Column, residues: str) -> Column:
-    """Occurrences of each letter in the whole sequence."""
-    return F.array(*[
-        (F.length(sequence) - F.length(F.replace(sequence, F.lit(r), F.lit("")))).cast("double")
-        for r in residues])
+    return F.concat(features.cast("array<double>"), one_hot)
 
 
 def fold_weights(df: DataFrame, group: str, fold: str, k: int, name: str) -> DataFrame:
@@ -66,26 +61,34 @@ def fold_weights(df: DataFrame, group: str, fold: str, k: int, name: str) -> Dat
     return left_lookup(df, lookup_side(table), [group])
 
 
-def _fit_all(jobs: list[tuple], data_of, weight_of) -> dict[tuple, LogisticRegressionModel]:
+def _fit_all(jobs: list[tuple], data_of, weight_of) -> dict[tuple, dict]:
     def fit(job):
         part, candidate, reg = job
         learner = LogisticRegression(
-            maxIter=ITERATIONS, regParam=reg, labelCol="label", featuresCol="features",
+            maxIter=ITERATIONS, tol=TOLERANCE, regParam=reg, labelCol="label", featuresCol="features",
             weightCol="weight")
-        rows = data_of(part).select("features", "label", weight_of(part).alias("weight"))
-        return (part, candidate), learner.fit(rows)
+        rows = data_of(part).select(array_to_vector("features").alias("features"), "label",
+                                    weight_of(part).alias("weight"))
+        return (part, candidate), _parameters(learner.fit(rows))
 
     spark = data_of(jobs[0][0]).sparkSession
     with ThreadPool(PARALLEL_FITS) as pool:
         return dict(pool.map(inheritable_thread_target(spark)(fit), jobs))
 
 
-def _scored(model: LogisticRegressionModel, rows: DataFrame, **tags) -> DataFrame:
-    out = model.transform(rows).select(
-        F.col("label").cast("int").alias("label"),
-        vector_to_array("probability")[1].alias("score"),
-        F.col("prediction").cast("int").alias("prediction"))
-    return out.withColumns({name: F.lit(value) for name, value in tags.items()})
+def _scored(rows: DataFrame, heads: dict[tuple, dict], grid: tuple) -> DataFrame:
+    """Each row scored by every candidate of its own fold: all heads in one pass."""
+    order = sorted(heads)
+    head = {f"head.{name}": np.concatenate([heads[j][f"head.{name}"] for j in order])
+            for name in ("weight", "bias")}
+    logits = row_head(head, linear_head, [F.col("features")])
+    fold, candidate = F.col("fold"), F.col("candidate")
+    at = (fold * len(grid) + candidate) * 2 + 1
+    l0, l1 = F.element_at("__logits", at), F.element_at("__logits", at + 1)
+    return rows.withColumn("__logits", logits).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("candidate")).select(
+        "fold", "candidate", F.col("label").cast("int").alias("label"),
+        softmax_positive(l0, l1).alias("score"), argmax_rule(l0, l1).alias("prediction"))
 
 
 def _history(metrics: DataFrame, run: str) -> DataFrame:
@@ -121,18 +124,17 @@ def train_kfold(
             plain.withColumn("is_lipo", F.lit(0.0)), allowMissingColumns=True)
     grouped = folded.withColumn(
         "sample_group", sample_group(F.col(category), F.col(label), F.col("is_lipo")))
-    data = settle(fold_weights(grouped, "sample_group", "fold", k, "weights").select(
-        feature_vector(features, F.col(index), categories).alias("features"),
-        F.col(label).cast("double").alias("label"), "fold", "weights"))
+    data = fold_weights(settle(grouped.select(
+        with_category(features, F.col(index), categories).alias("features"),
+        F.col(label).cast("double").alias("label"), "fold", "sample_group",
+    )), "sample_group", "fold", k, "weights")
 
     def train_part(f):
         return data.where(F.col("fold").isNull() | (F.col("fold") != f))
 
     fitted = _fit_all([(f, c, reg) for f in range(k) for c, reg in enumerate(grid)],
                       train_part, lambda f: F.col("weights")[f])
-    scored = reduce(DataFrame.unionByName, [
-        _scored(model, data.where(F.col("fold") == f), fold=f, candidate=c)
-        for (f, c), model in fitted.items()])
+    scored = _scored(data.where(F.col("fold").isNotNull()), fitted, grid)
     metrics = settle(metric_bundle(
         scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"]))
     history = _history(metrics, run)
@@ -141,7 +143,7 @@ def train_kfold(
     chosen = {r.fold: r.best_epoch for r in best.collect()}
     models = data.sparkSession.createDataFrame([
         row for f, c in chosen.items() if c is not None
-        for row in model_rows(f, _parameters(fitted[f, c]))], MODEL_SCHEMA)
+        for row in model_rows(f, fitted[f, c])], MODEL_SCHEMA)
     sizes = data.groupBy().agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.sum((F.col("fold") == f).cast("long")).alias(f"f{f}") for f in range(k)])
@@ -164,14 +166,12 @@ def train_holdout(
 
     A separate ``test`` table with the same columns takes the place of the test part.
     """
-    vector = array_to_vector(features.cast("array<double>")).alias("features")
+    vector = features.cast("array<double>").alias("features")
     target = F.col(label).cast("double").alias("label")
     data = settle(stratified_split(df, stratum, key, seed=seed).select(vector, target, "split"))
     fitted = _fit_all([(0, c, reg) for c, reg in enumerate(grid)],
                       lambda _: data.where("split = 'train'"), lambda _: F.lit(1.0))
-    scored = reduce(DataFrame.unionByName, [
-        _scored(model, data.where("split = 'val'"), fold=f, candidate=c)
-        for (f, c), model in fitted.items()])
+    scored = _scored(data.where("split = 'val'").withColumn("fold", F.lit(0)), fitted, grid)
     metrics = settle(metric_bundle(
         scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"]))
     history = _history(metrics, run)
@@ -179,9 +179,9 @@ def train_holdout(
         history.where(F.col("tag") == "mcc"), ["fold"], patience=patience).first()
     if best is None or best.best_epoch is None:
         raise ValueError("no candidate exceeds an MCC of -1 on the validation part")
-    model = fitted[0, best.best_epoch]
-    models = data.sparkSession.createDataFrame(model_rows(0, _parameters(model)), MODEL_SCHEMA)
+    chosen = fitted[0, best.best_epoch]
+    models = data.sparkSession.createDataFrame(model_rows(0, chosen), MODEL_SCHEMA)
     held = data.where("split = 'test'") if test is None else test.select(vector, target)
     report = metric_bundle(
-        _scored(model, held), F.col("label"), F.col("score"), F.col("prediction"))
+        _scored(held.withColumn("fold", F.lit(0)), {(0, 0): chosen}, grid[:1]), F.col("label"), F.col("score"), F.col("prediction"))
     return Training(history, models, report)

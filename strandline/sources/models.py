@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MODEL_SCHEMA = "fold int, name string, shape array<int>, values array<double>"
+NO_MODEL = "the model table holds no fold model"
 MAX_MODEL_NUMBERS = 256 * 1024 * 1024
 
 
@@ -30,7 +31,7 @@ def list_folds(models: DataFrame) -> list[int]:
     """Folds that have a model, in order; an error when there is none."""
     folds = [r.fold for r in models.select("fold").distinct().orderBy("fold").collect()]
     if not folds:
-        raise ValueError("the model table holds no fold model")
+        raise ValueError(NO_MODEL)
     return folds
 
 
@@ -48,9 +49,10 @@ def fold_groups(models: DataFrame, max_numbers: int = MAX_MODEL_NUMBERS) -> list
     A group is broadcast as a whole; a single fold is the smallest unit. Fails when the
     table holds no model.
     """
-    list_folds(models)
     sizes = models.groupBy("fold").agg(
         F.sum(F.size("values").cast("long")).alias("numbers")).orderBy("fold").collect()
+    if not sizes:
+        raise ValueError(NO_MODEL)
     groups, used = [], max_numbers
     for row in sizes:
         if used + row.numbers > max_numbers:
