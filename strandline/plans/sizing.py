@@ -61,6 +61,6 @@ def left_lookup(
     df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:
     """Join on ``keys`` with null equal to null; key columns of ``lookup`` are dropped."""
-    renamed = lookup.withColumnsRenamed({k: f"__{k}" for k in keys})
-    condition = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return df.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
+    other = {k: f"__lookup_{k}" for k in keys}
+    condition = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return df.join(lookup.withColumnsRenamed(other), condition, how).drop(*other.values())
