@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
+PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -49,12 +50,10 @@ def lookup_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(settled) if fits_broadcast(settled, max_bytes) else settled
 
 
-def bounded_side(df: DataFrame, parent: DataFrame, factor: int = 1) -> DataFrame:
-    """Hint a broadcast for a table with at most ``factor`` small rows per ``parent`` row.
-
-    The settled parent's size is the proof, so ``df`` itself is not computed twice.
-    """
-    return F.broadcast(df) if fits_broadcast(parent, BROADCAST_BYTES // factor) else df
+def compact(settled: DataFrame, target_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Merge partitions down to about ``target_bytes`` each, for tables read many times."""
+    wanted = -(-text_bytes(settled) // target_bytes)
+    return settled.coalesce(max(1, wanted))
 
 
 def left_lookup(

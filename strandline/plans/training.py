@@ -23,7 +23,7 @@ from strandline.operators.history import best_checkpoint
 from strandline.operators.metrics import COUNT_METRICS, CURVE_METRICS, metric_bundle
 from strandline.operators.split import stratified_kfold, stratified_split
 from strandline.operators.union import sample_group
-from strandline.plans.sizing import left_lookup, lookup_side, settle
+from strandline.plans.sizing import compact, left_lookup, lookup_side, settle
 from strandline.sources.models import MODEL_SCHEMA, model_rows
 
 GRID = (0.01, 0.1)  # regularisation strengths, tried in this order
@@ -124,10 +124,10 @@ def train_kfold(
             plain.withColumn("is_lipo", F.lit(0.0)), allowMissingColumns=True)
     grouped = folded.withColumn(
         "sample_group", sample_group(F.col(category), F.col(label), F.col("is_lipo")))
-    data = fold_weights(settle(grouped.select(
+    data = fold_weights(compact(settle(grouped.select(
         with_category(features, F.col(index), categories).alias("features"),
         F.col(label).cast("double").alias("label"), "fold", "sample_group",
-    )), "sample_group", "fold", k, "weights")
+    ))), "sample_group", "fold", k, "weights")
 
     def train_part(f):
         return data.where(F.col("fold").isNull() | (F.col("fold") != f))
@@ -168,7 +168,8 @@ def train_holdout(
     """
     vector = features.cast("array<double>").alias("features")
     target = F.col(label).cast("double").alias("label")
-    data = settle(stratified_split(df, stratum, key, seed=seed).select(vector, target, "split"))
+    data = compact(settle(
+        stratified_split(df, stratum, key, seed=seed).select(vector, target, "split")))
     fitted = _fit_all([(0, c, reg) for c, reg in enumerate(grid)],
                       lambda _: data.where("split = 'train'"), lambda _: F.lit(1.0))
     scored = _scored(data.where("split = 'val'").withColumn("fold", F.lit(0)), fitted, grid)
