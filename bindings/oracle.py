@@ -354,6 +354,8 @@ ORACLE = {
         round(1.0::double / count(*) over (partition by l_returnflag || l_linestatus), 10) as weight from lineitem""",
     "weighted_sample": _sample("documents", "doc_id", "lang"),
     "weighted_sample_orders": _sample("orders", "o_orderkey", "o_orderpriority"),
+    "shuffle_position": """select o_orderkey, row_number() over (
+        order by md5('42|' || o_orderkey), o_orderkey) - 1 as position from orders""",
     "metric_bundle": _bundle("""select 0 as g, case when label < 5 then 1 else 0 end as y,
         1 / (1 + exp(-round(embedding[1]::double, 2))) as score,
         case when round(embedding[1]::double, 2) > 0 then 1 else 0 end as yhat from embeddings""", ""),

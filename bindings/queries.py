@@ -257,6 +257,11 @@ def weighted_sample_orders(spark, sf_dir):
     return balance.balanced_sample(orders, "o_orderpriority", "o_orderkey")
 
 
+def shuffle_position(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return balance.shuffle_position(orders, "o_orderkey")
+
+
 # ---- metrics and losses
 
 def _bundle(df, *keys):
@@ -428,6 +433,7 @@ QUERIES = {
     "balance_weights_lineitem": balance_weights_lineitem,
     "weighted_sample": weighted_sample,
     "weighted_sample_orders": weighted_sample_orders,
+    "shuffle_position": shuffle_position,
     "metric_bundle": metric_bundle,
     "metric_bundle_by_lang": metric_bundle_by_lang,
     "metrics_by_group": metrics_by_group,

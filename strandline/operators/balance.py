@@ -36,7 +36,8 @@ def balanced_sample(
     ``key`` has to be unique. Draws find their row through (group, position), both hashed
     from the draw number. A row expected more than ``copy_draws`` times (a tiny group in a
     big sample) is given salted copies, so that its draws spread over many tasks.
-    The wide rows move once, in the last join. Adds ``draw``.
+    The wide rows move once, in the last join. Adds ``draw``. Groups are taken to be few
+    (they are numbered by one window over the table of group sizes).
     """
     spark = df.sparkSession
     numbered = Window.orderBy(F.col(group).asc_nulls_first())
@@ -79,3 +80,12 @@ def balanced_sample(
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in a reproducible random order: a distributed sort on hashed keys."""
     return df.orderBy(digest(F.lit(seed), F.col(key)), F.col(key))
+
+
+def shuffle_position(
+    df: DataFrame, key: str, seed: int = 42, name: str = "position", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add the 0-based place of each row in the order of ``shuffled``."""
+    hashed = df.withColumns({"__all": F.lit(0), "__digest": digest(F.lit(seed), F.col(key))})
+    return dense_position(hashed, ["__all"], [F.col("__digest"), F.col(key)], name, hot_rows).drop(
+        "__all", "__digest")

@@ -4,7 +4,8 @@ Which row goes where is decided by the md5 of its key; how many rows of a stratu
 each part is exact. A row is placed by comparing its md5 with a few cut values of its
 stratum, so the wide rows are never shuffled: one scan counts rows per (stratum, md5
 prefix), a second one ranks only the rows of the prefixes in which a cut falls, and the
-final scan compares.
+final scan compares. Strata are taken to be few (category and label, or label and length
+bin): quotas come from windows over the table of stratum sizes.
 """
 
 from __future__ import annotations

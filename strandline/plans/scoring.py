@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from strandline.operators.clean import CHAINS, NO_CHAIN, clean_route
 from strandline.operators.heads import linear_head
 from strandline.operators.score import ensemble_score
-from strandline.sources.tables import require_columns
+from strandline.sources.models import read_models
+from strandline.sources.tables import read_table, require_columns, write_table
 
 
 def score_records(
@@ -32,6 +33,20 @@ def score_records(
         *records.columns, "Probability", "Prediction")
 
 
+def score_file(
+    spark: SparkSession, models_path: str, input_path: str, features: list[str],
+    output_path: str = "predictions.csv", schema: T.StructType | str | None = None, **options,
+) -> None:
+    """Score a table file with the saved fold models and write the predictions.
+
+    ``features`` names the columns the head takes; they are left out of the output.
+    """
+    records = require_columns(read_table(spark, input_path, schema), features)
+    scored = score_records(records, [F.col(c) for c in features], read_models(spark, models_path),
+                           **options)
+    write_table(scored.drop(*features), output_path)
+
+
 def centroid_heads(
     df: DataFrame, fold: str, label: str, vector: str
 ) -> DataFrame:

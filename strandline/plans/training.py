@@ -24,7 +24,8 @@ from strandline.operators.metrics import COUNT_METRICS, CURVE_METRICS, metric_bu
 from strandline.operators.split import stratified_kfold, stratified_split
 from strandline.operators.union import sample_group
 from strandline.plans.sizing import compact, left_lookup, lookup_side, settle
-from strandline.sources.models import MODEL_SCHEMA, model_rows
+from strandline.sources.models import MODEL_SCHEMA, model_rows, save_fold
+from strandline.sources.tables import append_history, write_table
 
 GRID = (0.01, 0.1)  # regularisation strengths, tried in this order
 ITERATIONS = 20
@@ -41,6 +42,13 @@ class Training:
     report: DataFrame
 
 
+def save_training(run: Training, folder: str) -> None:
+    """Write the best models by fold, append the metric history, write the report as CSV."""
+    save_fold(run.models, f"{folder}/models")
+    append_history(run.history, f"{folder}/history")
+    write_table(run.report, f"{folder}/report.csv")
+
+
 def with_category(features: Column, index: Column, categories: int) -> Column:
     """The features followed by the one-hot category index."""
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(categories - 1)),

@@ -9,7 +9,7 @@ def session(app: str = "strandline", master: str | None = None, **conf) -> Spark
     """A session with adaptive execution, skew-join handling and UTC times.
 
     Shuffle width is left to adaptive coalescing on a cluster: start wide, merge small
-    partitions. Pass settings with dots written as double underscores.
+    partitions. Checkpoint files of tables no longer in use are removed. Pass settings with dots written as double underscores.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -19,6 +19,7 @@ def session(app: str = "strandline", master: str | None = None, **conf) -> Spark
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {name.replace("__", "."): str(value) for name, value in conf.items()}
     for name, value in settings.items():
         builder = builder.config(name, value)

@@ -168,3 +168,7 @@ def test_shuffle_is_reproducible(spark):
     first = [r.id for r in balance.shuffled(rows, "id").collect()]
     again = [r.id for r in balance.shuffled(rows.repartition(7), "id").collect()]
     assert first == again != sorted(first) and sorted(first) == list(range(200))
+    for hot_rows in (30, 1000):
+        placed = balance.shuffle_position(rows, "id", hot_rows=hot_rows).orderBy("position").collect()
+        assert [r.id for r in placed] == first
+        assert [r.position for r in placed] == list(range(200))

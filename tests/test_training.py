@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.text import length_bin, residue_counts
-from strandline.operators.score import ensemble_score
 from strandline.operators.vocab import category_index, static_vocab
 from strandline.plans import training
-from strandline.sources.tables import write_table
+from strandline.plans.scoring import score_file
+from strandline.sources.tables import read_table, write_table
 
 LETTERS = "AKL"
 
@@ -34,7 +34,7 @@ def test_fold_weights(spark):
     assert got["a", 0] == [0.5, 1.0] and got["b", None] == [1.0, 1.0] and got["c", 0] == [None, 1.0]
 
 
-def test_train_kfold(spark, peptides):
+def test_train_kfold(spark, peptides, tmp_path):
     lipo, plain = peptides.where("id < 'P5'"), peptides.where("id >= 'P5'").drop("Fatty_acid_chain")
     run = training.train_kfold(lipo, "id", F.col("counts"), "Fatty_acid_chain", "chain_index", 4,
                                "Label", plain=plain, k=3, grid=(0.01, 0.1))
@@ -44,9 +44,17 @@ def test_train_kfold(spark, peptides):
     assert all(r.train_rows + r.val_rows == n + extra for r in report)
     assert all(r.mcc > 0.8 and r.auc > 0.95 for r in report)
     assert run.history.where("tag = 'mcc'").count() == 6
-    features = training.with_category(F.col("counts"), F.col("chain_index"), 4)
-    scored = ensemble_score(lipo, [features], run.models)
-    assert scored.where("Prediction = Label").count() > 0.95 * n
+    for _ in range(2):
+        training.save_training(run, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "history")).where("tag = 'mcc'").count() == 12
+    ready = str(tmp_path / "ready.parquet")
+    lipo.withColumn("x", training.with_category(F.col("counts"), F.col("chain_index"), 4)).drop(
+        "counts").write.parquet(ready)
+    scored = str(tmp_path / "scored.csv")
+    score_file(spark, str(tmp_path / "models"), ready, ["x"], scored)
+    back = read_table(spark, scored)
+    assert back.columns == [*[c for c in lipo.columns if c != "counts"], "Probability", "Prediction"]
+    assert back.count() == n and back.where("Prediction = Label").count() > 0.95 * n
 
 
 def test_train_holdout(spark, peptides, tmp_path):
