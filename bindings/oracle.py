@@ -337,6 +337,9 @@ ORACLE = {
     "length_bin": f"""with {LABELLED} select doc_id, Label, n_chars as Length, {BIN} as Length_Bin from labelled""",
     "stratified_kfold": f"""with {LABELLED}, {_kfold('labelled', 'doc_id', "lang || '_' || Label")}
     select doc_id, s as stratum, fold from folded""",
+    "fold_parts": f"""with {LABELLED}, {_kfold('labelled', 'doc_id', "lang || '_' || Label")}
+    select doc_id, cast(f as int) as fold_number, case when fold = f then 'val' else 'train' end as part
+    from folded, range(0, {FOLDS}) t(f)""",
     "stratified_kfold_orders": f"""with {_kfold('orders', 'o_orderkey', ORDER_STRATUM)}
     select o_orderkey, o_orderstatus, o_orderpriority, fold from folded""",
     "stratified_split": f"""with {LABELLED}, {_split('labelled', 'doc_id', BIN_STRATUM)}
@@ -366,6 +369,10 @@ ORACLE = {
         select lang as g, Label as y, case when n_chars > 1000 then 1 else 0 end as yhat from labelled),
     cells as (select g, {COUNTS} from scored group by g)
     select g as lang, {COUNT_METRICS} from cells""",
+    "metrics_flagged": f"""with {LABELLED}, cells as (
+        select {COUNTS} from (select Label as y, case when n_chars > 1000 then 1 else 0 end as yhat
+                              from labelled where lang <> 'en'))
+    select {COUNT_METRICS} from cells""",
     "auc_ap": f"""with scored as (
         select l_linestatus as g, case when l_returnflag = 'R' then 1 else 0 end as y, l_extendedprice as score
         from lineitem), {_curve('scored')}

@@ -7,6 +7,8 @@ is the label, ``embeddings`` the features, ``events`` the metric history.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -200,6 +202,14 @@ def stratified_kfold(spark, sf_dir):
         "doc_id", key.alias("stratum"), "fold")
 
 
+def fold_parts(spark, sf_dir):
+    rows = settle(split.stratified_kfold(
+        _labelled(spark, sf_dir), stratum_key(F.col("lang"), F.col("Label")), "doc_id", FOLDS))
+    return reduce(DataFrame.unionByName, [
+        part(rows, f).select("doc_id", F.lit(f).alias("fold_number"), F.lit(name).alias("part"))
+        for f in range(FOLDS) for name, part in (("train", split.train_part), ("val", split.val_part))])
+
+
 def _order_stratum():
     return F.concat_ws("_", "o_orderstatus", "o_orderpriority")
 
@@ -291,6 +301,12 @@ def metrics_by_group(spark, sf_dir):
         rows, F.col("Label"), (F.col("n_chars") > 1000).cast("int"), ["lang"]), "lang")
 
 
+def metrics_flagged(spark, sf_dir):
+    rows = _mixed(spark, sf_dir).where("is_lipo = 1")
+    return _bundle(metrics.metrics_by_group(
+        rows, F.col("Label"), (F.col("n_chars") > 1000).cast("int")))
+
+
 def auc_ap(spark, sf_dir):
     items = _table(spark, sf_dir, "lineitem").select(
         "l_linestatus", "l_extendedprice", (F.col("l_returnflag") == "R").cast("int").alias("y"))
@@ -425,6 +441,7 @@ QUERIES = {
     "mixed_union": mixed_union,
     "length_bin": length_bin_query,
     "stratified_kfold": stratified_kfold,
+    "fold_parts": fold_parts,
     "stratified_kfold_orders": stratified_kfold_orders,
     "stratified_split": stratified_split,
     "stratified_split_orders": stratified_split_orders,
@@ -437,6 +454,7 @@ QUERIES = {
     "metric_bundle": metric_bundle,
     "metric_bundle_by_lang": metric_bundle_by_lang,
     "metrics_by_group": metrics_by_group,
+    "metrics_flagged": metrics_flagged,
     "auc_ap": auc_ap,
     "loss_focal": loss_focal,
     "loss_cross_entropy": loss_cross_entropy,

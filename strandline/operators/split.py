@@ -58,9 +58,8 @@ def _cut_values(
         _STRATUM, _PREFIX, "__part", (F.col("__rank") - F.col("__start")).alias("__local"))
 
     within = Window.partitionBy(_STRATUM, _PREFIX).orderBy(_HASH, _KEY)
-    holders = small(cuts.select(_STRATUM, _PREFIX).distinct())
     ranked = left_lookup(
-        keyed.select(_STRATUM, _PREFIX, _HASH, _KEY), holders, [_STRATUM, _PREFIX], "inner"
+        keyed.select(_STRATUM, _PREFIX, _HASH, _KEY), small(cuts), [_STRATUM, _PREFIX], "left_semi"
     ).withColumn("__local", F.row_number().over(within).cast("long"))
     found = left_lookup(
         ranked, small(cuts), [_STRATUM, _PREFIX, "__local"], "inner"
@@ -100,6 +99,16 @@ def assign_parts(
         _STRATUM, _HASH, _KEY, _PREFIX, "__cuts")
 
 
+def train_part(df: DataFrame, fold_number: int, fold: str = "fold") -> DataFrame:
+    """Training rows of a fold: all other folds, and rows without a fold."""
+    return df.where(F.col(fold).isNull() | (F.col(fold) != fold_number))
+
+
+def val_part(df: DataFrame, fold_number: int, fold: str = "fold") -> DataFrame:
+    """Validation rows of a fold."""
+    return df.where(F.col(fold) == fold_number)
+
+
 def fold_quotas(sizes: DataFrame, k: int) -> DataFrame:
     """Fold sizes per stratum: row j of the strata laid end to end belongs to fold j mod k."""
     start = F.coalesce(F.sum("n").over(

@@ -21,7 +21,7 @@ from strandline.functions.text import stratum_key
 from strandline.operators.heads import linear_head, row_head
 from strandline.operators.history import best_checkpoint
 from strandline.operators.metrics import COUNT_METRICS, CURVE_METRICS, metric_bundle
-from strandline.operators.split import stratified_kfold, stratified_split
+from strandline.operators.split import stratified_kfold, stratified_split, train_part
 from strandline.operators.union import sample_group
 from strandline.plans.sizing import compact, left_lookup, lookup_side, settle
 from strandline.sources.models import MODEL_SCHEMA, model_rows, save_fold
@@ -137,11 +137,8 @@ def train_kfold(
         F.col(label).cast("double").alias("label"), "fold", "sample_group",
     ))), "sample_group", "fold", k, "weights")
 
-    def train_part(f):
-        return data.where(F.col("fold").isNull() | (F.col("fold") != f))
-
     fitted = _fit_all([(f, c, reg) for f in range(k) for c, reg in enumerate(grid)],
-                      train_part, lambda f: F.col("weights")[f])
+                      lambda f: train_part(data, f), lambda f: F.col("weights")[f])
     scored = _scored(data.where(F.col("fold").isNotNull()), fitted, grid)
     metrics = settle(metric_bundle(
         scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"]))
