@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strandline.functions.hashing import digest, unit
 from strandline.plans.running import HOT_ROWS, dense_position
@@ -36,11 +36,9 @@ def balanced_sample(
     ``key`` has to be unique. Draws find their row through (group, position), both hashed
     from the draw number. A row expected more than ``copy_draws`` times (a tiny group in a
     big sample) is given salted copies, so that its draws spread over many tasks.
-    The wide rows move once, in the last join. Adds ``draw``. Groups are taken to be few
-    (they are numbered by one window over the table of group sizes).
+    The wide rows move once, in the last join. Adds ``draw``.
     """
     spark = df.sparkSession
-    numbered = Window.orderBy(F.col(group).asc_nulls_first())
     groups = settle(group_counts(df, group))
     total = groups.agg(F.count(F.lit(1)), F.sum("group_rows")).first()
     n_groups, n_rows = total[0], total[1] or 0
@@ -49,9 +47,10 @@ def balanced_sample(
         return df.withColumn("draw", F.lit(None).cast("long"))
     per_group = wanted / n_groups
     copies = F.greatest(F.lit(1), F.ceil(F.lit(per_group) / F.col("group_rows") / copy_draws))
-    sized = lookup_side(groups.select(
-        (F.row_number().over(numbered) - 1).cast("long").alias("__g"),
-        F.col(group), "group_rows", copies.cast("long").alias("__copies")))
+    numbered = dense_position(groups.withColumn("__all", F.lit(0)), ["__all"],
+                              [F.col(group).asc_nulls_first()], "__g", hot_rows)
+    sized = lookup_side(numbered.select(
+        "__g", group, "group_rows", copies.cast("long").alias("__copies")))
 
     salted = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("__salt")
     by_group = sized.select(group, "__g", "__copies")

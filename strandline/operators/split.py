@@ -4,8 +4,7 @@ Which row goes where is decided by the md5 of its key; how many rows of a stratu
 each part is exact. A row is placed by comparing its md5 with a few cut values of its
 stratum, so the wide rows are never shuffled: one scan counts rows per (stratum, md5
 prefix), a second one ranks only the rows of the prefixes in which a cut falls, and the
-final scan compares. Strata are taken to be few (category and label, or label and length
-bin): quotas come from windows over the table of stratum sizes.
+final scan compares.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.hashing import digest
+from strandline.plans.running import dense_position, running
 from strandline.plans.sizing import BROADCAST_BYTES, fits_broadcast, left_lookup, settle
 
 PREFIX_DIGITS = 3  # 4096 buckets per stratum
@@ -111,18 +111,16 @@ def val_part(df: DataFrame, fold_number: int, fold: str = "fold") -> DataFrame:
 
 def fold_quotas(sizes: DataFrame, k: int) -> DataFrame:
     """Fold sizes per stratum: row j of the strata laid end to end belongs to fold j mod k."""
-    start = F.coalesce(F.sum("n").over(
-        Window.orderBy(F.col("stratum").asc_nulls_first()).rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))
+    placed = running(sizes.withColumn("__all", F.lit(0)), ["__all"], [_by_name()],
+                     {"start": ("sum", F.col("n"))}, inclusive=False)
+    start = F.coalesce(F.col("start"), F.lit(0))
 
     def upto(rows, fold):  # how many of the first `rows` rows have number = fold (mod k)
         return F.floor((rows + (k - 1 - fold)) / F.lit(k))
 
-    placed = sizes.withColumn("start", start)
-    size = [upto(F.col("start") + F.col("n"), f) - upto(F.col("start"), f) for f in range(k)]
     ends, total = [], F.lit(0).cast("long")
     for f in range(k - 1):
-        total = total + size[f]
+        total = total + upto(start + F.col("n"), f) - upto(start, f)
         ends.append(total)
     return placed.select("stratum", "n", F.array(*ends).alias("ends"))
 
@@ -140,22 +138,31 @@ def stratified_kfold(
     return assign_parts(df, stratum, key, counts, quotas, k, name, seed, digits)
 
 
+def _by_name() -> Column:
+    return F.col("stratum").asc_nulls_first()
+
+
+def _total(table: DataFrame, value: Column) -> Column:
+    """Sum over a table as a scalar subquery; 0 when it is empty."""
+    return F.coalesce(table.agg(F.sum(value)).scalar(), F.lit(0))
+
+
 def _share(table: DataFrame, size: str, take: Column, of: Column, name: str) -> DataFrame:
     """Split ``take`` of ``of`` rows over the strata by largest remainder, ties by name.
 
-    Exact integer arithmetic: a stratum of c rows gets the whole part of c * take / of.
+    Exact integer arithmetic: a stratum of c rows gets the whole part of c * take / of, and
+    one more row if its remainder is among the largest.
     """
     product = F.col(size).cast("decimal(19,0)") * take.cast("decimal(19,0)")
-    divisor = F.when(of > 0, of).otherwise(1).cast("decimal(19,0)")
-    whole, rest = F.call_function("div", product, divisor), product % divisor
-    by_rest = Window.orderBy(F.col("__rest").desc(), F.col("stratum").asc_nulls_first())
-    return (
-        table.withColumn("__whole", whole).withColumn("__rest", rest)
-        .withColumn("__missing", take - F.sum("__whole").over(Window.partitionBy()))
-        .withColumn(name, F.col("__whole") + (
-            (F.row_number().over(by_rest) <= F.col("__missing"))).cast("long"))
-        .drop("__whole", "__rest", "__missing")
-    )
+    divisor = F.greatest(of, F.lit(1)).cast("decimal(19,0)")
+    parts = table.withColumns({
+        "__all": F.lit(0), "__whole": F.call_function("div", product, divisor),
+        "__rest": product % divisor})
+    missing = take - _total(parts, F.col("__whole"))
+    ranked = dense_position(parts, ["__all"], [F.col("__rest").desc(), _by_name()], "__rank")
+    return ranked.withColumn(
+        name, F.col("__whole") + (F.col("__rank") < missing).cast("long")
+    ).select(*table.columns, name)
 
 
 def split_quotas(sizes: DataFrame, held_out: float = 0.3, test_of_held: float = 0.5) -> DataFrame:
@@ -164,25 +171,18 @@ def split_quotas(sizes: DataFrame, held_out: float = 0.3, test_of_held: float =
     The held-out and test sizes are rounded up. A stratum of one row stays in train, and
     strata too small to reach all three parts are flagged instead of raising an error.
     """
-    whole = Window.partitionBy()
-    single = F.col("n") == 1
-    table = sizes.withColumns({
-        "__n": F.sum("n").over(whole),
-        "__singles": F.sum(single.cast("long")).over(whole),
-        "__pool": F.when(single, 0).otherwise(F.col("n")),
-    }).withColumn("__held", F.ceil(F.col("__n") * F.lit(held_out)))
-    table = table.withColumn("__take", F.greatest(
-        F.col("__n") - F.col("__held") - F.col("__singles"), F.lit(0)))
-    table = _share(table, "__pool", F.col("__take"), F.col("__n") - F.col("__singles"), "__train")
-    table = table.withColumn(
-        "train", F.when(single, F.lit(1).cast("long")).otherwise(F.col("__train"))
-    ).withColumn("__rest_n", F.col("n") - F.col("train"))
-    table = table.withColumn("__rest_all", F.sum("__rest_n").over(whole)).withColumn(
-        "__val", F.col("__rest_all") - F.ceil(F.col("__rest_all") * F.lit(test_of_held)))
-    table = _share(table, "__rest_n", F.col("__val"), F.col("__rest_all"), "val")
-    return table.select(
-        "stratum", "n", "train", "val", (F.col("__rest_n") - F.col("val")).alias("test"),
-        ((F.col("n") < 2) | (F.col("__rest_n") < 2)).alias("undersized"))
+    n, single = F.col("n"), F.col("n") == 1
+    everything, singles = _total(sizes, n), _total(sizes, single.cast("long"))
+    take = F.greatest(everything - F.ceil(everything * F.lit(held_out)) - singles, F.lit(0))
+    pooled = sizes.withColumn("__pool", F.when(single, 0).otherwise(n))
+    first = settle(_share(pooled, "__pool", take, everything - singles, "__train").select(
+        "stratum", "n", F.when(single, 1).otherwise(F.col("__train")).cast("long").alias("train"))
+        .withColumn("__held", n - F.col("train")))
+    held = _total(first, F.col("__held"))
+    val = held - F.ceil(held * F.lit(test_of_held))
+    return _share(first, "__held", val, held, "val").select(
+        "stratum", "n", "train", "val", (F.col("__held") - F.col("val")).alias("test"),
+        ((n < 2) | (F.col("__held") < 2)).alias("undersized"))
 
 
 def stratified_split(
