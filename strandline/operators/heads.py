@@ -55,8 +55,13 @@ def linear_head(p: dict, x: np.ndarray) -> np.ndarray:
 
 
 def pool_tokens(p: dict, tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Softmax-weighted sum of the tokens of each row; masked tokens get no weight."""
-    scores = np.where(mask > 0, np.tanh(dense(p, "pool", tokens)[..., 0]), -1e9)
+    """Softmax-weighted sum of the tokens of each row.
+
+    Masked tokens (mask 0) get no weight unless the whole row is masked; batch padding
+    (mask -1) never does.
+    """
+    scores = np.where(mask > 0, np.tanh(dense(p, "pool", tokens)[..., 0]),
+                      np.where(mask < 0, -np.inf, -1e9))
     weights = np.exp(scores - scores.max(axis=1, keepdims=True))
     weights /= weights.sum(axis=1, keepdims=True)
     return np.einsum("rt,rth->rh", weights, tokens)
@@ -66,19 +71,20 @@ def prompted_head(p: dict, tokens: np.ndarray, mask: np.ndarray, index: np.ndarr
     """Category vector as prefix token, residual adapter, attention pooling, classifier."""
     prefix = gelu(norm(p, "prefix.norm", dense(p, "prefix", p["category"][index])))
     full = np.concatenate([prefix[:, None, :], tokens], axis=1)
-    keep = np.concatenate([np.ones((len(mask), 1)), mask], axis=1) > 0
+    full_mask = np.concatenate([np.ones((len(mask), 1)), mask], axis=1)
     adapted = norm(p, "adapter.norm", dense(p, "up", gelu(dense(p, "down", full))) + full)
-    pooled = pool_tokens(p, adapted, keep)
+    pooled = pool_tokens(p, adapted, full_mask)
     return dense(p, "out", gelu(norm(p, "hidden.norm", dense(p, "hidden", pooled))))
 
 
 def _padded(column: pa.Array) -> np.ndarray:
-    """A list (or list-of-lists) column as an array padded with zeros to the longest row."""
+    """A list column as an array, padded to the longest row: vectors with 0, numbers with -1."""
     lengths = np.diff(column.offsets.to_numpy())
     inner = column.flatten()
     nested = pa.types.is_list(inner.type)
     values = to_matrix(inner) if nested else inner.to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), lengths.max(initial=0), *values.shape[1:]))
+    shape = (len(column), lengths.max(initial=0), *values.shape[1:])
+    out = np.full(shape, 0.0 if nested else -1.0)
     row = np.repeat(np.arange(len(column)), lengths)
     out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
     return out

@@ -38,7 +38,7 @@ def attention_pool(
 
     The tokens come one per row. Scores lie in [-1, 1], so ``sum(e x) / sum(e)`` is safe as
     it stands: one aggregate with map-side combine, no window and no whole group in a task.
-    Tokens with mask 0 take no part.
+    Tokens with mask 0 take no part; a group of such tokens only gives no row.
     """
     kept = tokens if mask is None else tokens.where(F.col(mask) != 0)
     weighted = kept.withColumn("__e", F.exp(attention_score(F.col(vector), weights, bias)))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MODEL_SCHEMA = "fold int, name string, shape array<int>, values array<double>"
 NO_MODEL = "the model table holds no fold model"
-MAX_MODEL_NUMBERS = 256 * 1024 * 1024
+MAX_MODEL_NUMBERS = 16 * 1024 * 1024
 
 
 def model_rows(fold: int, parameters: dict[str, np.ndarray]) -> list[tuple]:
@@ -37,9 +37,11 @@ def list_folds(models: DataFrame) -> list[int]:
 
 def load_folds(models: DataFrame) -> list[dict[str, np.ndarray]]:
     """Parameters of every fold of the table as numpy arrays, in fold order."""
+    table = models.select("fold", "name", "shape", "values").orderBy("fold", "name").toArrow()
     folds: dict[int, dict[str, np.ndarray]] = {}
-    for row in models.orderBy("fold", "name").collect():
-        folds.setdefault(row.fold, {})[row.name] = np.array(row["values"]).reshape(row.shape)
+    keys = zip(*(table[c].to_pylist() for c in ("fold", "name", "shape")))
+    for (fold, name, shape), values in zip(keys, table["values"]):
+        folds.setdefault(fold, {})[name] = values.values.to_numpy().reshape(shape)
     return list(folds.values())
 
 

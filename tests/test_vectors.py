@@ -75,6 +75,16 @@ def test_attention_pool_long_and_row_form(spark):
         assert by_row[g] == pytest.approx(expected)
 
 
+def test_pooling_of_fully_masked_rows_ignores_batch_padding(spark):
+    rows = spark.createDataFrame(
+        [(0, [[1.0, 2.0], [3.0, 4.0]], [0, 0]), (1, [[1.0, 1.0]] * 7, [1] * 7)],
+        "id int, x array<array<double>>, m array<int>").coalesce(1)
+    p = {"pool.weight": np.ones((1, 2)), "pool.bias": np.zeros(1)}
+    got = {r.id: r.z for r in rows.select("id", heads.row_head(
+        p, heads.pool_tokens, [F.col("x"), F.col("m")]).alias("z")).collect()}
+    assert got[0] == pytest.approx([2.0, 3.0]) and got[1] == pytest.approx([1.0, 1.0])
+
+
 def test_vector_means_and_gather(spark):
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 6.0])],
                                  "g string, x array<double>")
