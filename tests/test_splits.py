@@ -172,3 +172,27 @@ def test_shuffle_is_reproducible(spark):
         placed = balance.shuffle_position(rows, "id", hot_rows=hot_rows).orderBy("position").collect()
         assert [r.id for r in placed] == first
         assert [r.position for r in placed] == list(range(200))
+
+
+def test_results_beyond_the_broadcast_limit(spark, peptides, monkeypatch):
+    def results():
+        folds = split.stratified_kfold(peptides, chain_label(), "id")
+        parts = split.stratified_split(peptides, chain_label(), "id")
+        grouped = peptides.withColumn("g", chain_label())
+        weights = balance.balance_weights(grouped, "g")
+        drawn = balance.balanced_sample(grouped, "g", "id", 1000, copy_draws=30)
+        return [(df, sorted(map(tuple, df.collect()))) for df in (folds, parts, weights, drawn)]
+
+    small = results()
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda *a: False)
+    monkeypatch.setattr(split, "fits_broadcast", lambda *a: False)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = results()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    for (_, expected), (df, got) in zip(small, large):
+        assert got == expected
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
