@@ -1,6 +1,7 @@
 """Running aggregates, folds, splits, weights, sampling."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -196,3 +197,62 @@ def test_results_beyond_the_broadcast_limit(spark, peptides, monkeypatch):
     for (_, expected), (df, got) in zip(small, large):
         assert got == expected
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+class FakeContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, context, **conf):
+        self.sparkContext, self.conf = context, conf
+
+
+@pytest.mark.parametrize("context, conf, expected", [
+    (FakeContext("yarn", "/shared/a"), {"spark.checkpoint.dir": "/shared/b"}, "/shared/a"),
+    (FakeContext("yarn"), {"spark.checkpoint.dir": "/shared/b"}, "/shared/b"),
+    (FakeContext("local[4]"), {}, None),
+])
+def test_checkpoint_folder(context, conf, expected):
+    sizing.ensure_checkpoint_dir(FakeSession(context, **conf))
+    assert context.folder == expected or (expected is None and "checkpoints-" in context.folder)
+
+
+def test_a_cluster_needs_a_named_checkpoint_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sizing.ensure_checkpoint_dir(FakeSession(FakeContext("spark://host:7077")))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotas_of_random_strata(spark, seed):
+    draw = random.Random(seed)
+    sizes = {f"s{i:02d}": draw.choice([1, 2, 3, 7, draw.randint(1, 90), draw.randint(1, 10**11)])
+             for i in range(draw.randint(2, 25))}
+    table = spark.createDataFrame(list(sizes.items()), "stratum string, n long").repartition(3)
+    total = sum(sizes.values())
+    single = {s for s, n in sizes.items() if n == 1}
+    train = max(total - math.ceil(0.3 * total) - len(single), 0)
+    several = {s: n for s, n in sizes.items() if n > 1}
+    quota = largest_remainder(several, train) | dict.fromkeys(single, 1)
+    held = {s: n - quota[s] for s, n in sizes.items()}
+    val = largest_remainder(held, sum(held.values()) - math.ceil(0.5 * sum(held.values())))
+    got = {r.stratum: r for r in split.split_quotas(table).collect()}
+    for s in sizes:
+        assert (got[s].train, got[s].val, got[s].test) == (quota[s], val[s], held[s] - val[s])
+
+    small = {s: min(n, 500) for s, n in sizes.items()}
+    layout = [s for s in sorted(small) for _ in range(small[s])]
+    expected = {s: Counter() for s in small}
+    for j, s in enumerate(layout):
+        expected[s][j % 5] += 1
+    ends = split.fold_quotas(spark.createDataFrame(list(small.items()), "stratum string, n long"), 5)
+    for r in ends.collect():
+        bounds = [0, *r.ends, r.n]
+        assert [b - a for a, b in zip(bounds, bounds[1:])] == [expected[r.stratum][f] for f in range(5)]
