@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.plans.running import HOT_ROWS, running
+from strandline.plans.running import HOT_ROWS, hot_groups, running
 
 START = -1.0  # a value has to exceed this to count as a first improvement
 
@@ -24,13 +24,14 @@ def best_checkpoint(
     number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     order = [F.col(epoch)]
     history = history.select(*run, epoch, number.alias("__v"))
-    seen = running(history, run, order, {"__before": ("max", F.col("__v"))}, False, hot_rows)
+    hot = hot_groups(history, run, hot_rows)
+    seen = running(history, run, order, {"__before": ("max", F.col("__v"))}, False, hot_rows, hot)
     better = F.col("__v") > F.greatest(F.col("__before"), F.lit(START))
     marked = running(seen.withColumn("__better", better), run, order, {
         "__last": ("max", F.when(F.col("__better"), F.col(epoch))),
         "__best": ("max", F.when(F.col("__better"), F.col("__v"))),
         "__first": ("min", F.col(epoch)),
-    }, True, hot_rows)
+    }, True, hot_rows, hot)
     waited = F.col(epoch) - F.coalesce(F.col("__last"), F.col("__first") - 1)
     state = F.struct(F.col(epoch).alias("at"), "__last", "__best")
     ends = marked.groupBy(*run).agg(

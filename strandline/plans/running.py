@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.plans.sizing import left_lookup, lookup_side, settle
+from strandline.plans.sizing import hinted, left_lookup, lookup_side, settle
 
 HOT_ROWS = 2_000_000
+LOOK = "look"
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -43,6 +44,7 @@ def running(
     measures: Measures,
     inclusive: bool = True,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None | str = LOOK,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min`` columns over each group in ``order``.
 
@@ -50,16 +52,18 @@ def running(
     on the order itself, so that equal leading values can be split too: every range gets a
     local window, and the totals of the ranges before it come from a small table.
     ``inclusive`` says whether a row counts itself. The order has to be total in a group.
+    ``hot`` takes the result of ``hot_groups`` when the groups have been counted before.
     """
-    hot = hot_groups(df, by, hot_rows)
+    if isinstance(hot, str):
+        hot = hot_groups(df, by, hot_rows)
     if hot is None:
         return _windowed(df, by, order, measures, inclusive)
 
     biggest = hot.agg(F.sum("__rows")).first()[0]
     ranges = max(2 * -(-biggest // hot_rows),
                  int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hot_side = lookup_side(hot.drop("__rows").withColumn("__hot", F.lit(True)))
-    marked = left_lookup(df, hot_side, by)
+    marked = left_lookup(
+        df, hinted(hot).drop("__rows").withColumn("__hot", F.lit(True)), by)
 
     cold = _windowed(marked.where(F.col("__hot").isNull()).drop("__hot"),
                      by, order, measures, inclusive)

@@ -46,7 +46,11 @@ def lookup_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
     Above the limit the table is joined by shuffle, where adaptive execution splits hot keys.
     """
-    settled = settle(df)
+    return hinted(settle(df), max_bytes)
+
+
+def hinted(settled: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled table with a broadcast hint if it is small enough."""
     return F.broadcast(settled) if fits_broadcast(settled, max_bytes) else settled
 
 
