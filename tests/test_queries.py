@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from bindings.queries import QUERIES
 
 TABLES = Path("/root/testdata/sf0.001")
-NAMES = sorted(contract.queries())
+NAMES = sorted(QUERIES)
 WITHOUT_SQL = {"train_kfold", "train_holdout"}
 
 
