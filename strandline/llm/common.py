@@ -43,7 +43,7 @@ def replace_file(uri: str, write) -> None:
     store, path = open_store(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.draft"
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(draft, compression=None) as out:
         write(out)
     store.move(draft, path)
 

@@ -9,6 +9,27 @@ _LEVEL = """
 {name}_mean as (select a.*, k, (bad + k * above) / (n + k) mean from {name}_above a, {name}_k)"""
 
 ORACLE = {
+    "op1_warc": """
+with p as (
+    select page_id, strlen(coalesce(html, '')) b, sha256(coalesce(html, '')) d from pages),
+f as (select d, min(page_id) first_id from p where b >= 100 group by d)
+select page_id, b payload_bytes, d payload_digest,
+    case when b >= 100 and page_id <> first_id then 'revisit' else 'response' end record_type,
+    case when b >= 100 and page_id <> first_id then first_id end refers_to
+from p left join f using (d)
+""",
+    "op9_kdtree_topk": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) c from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+    select q.vec_id query_id, v.vec_id, list_inner_product(q.c, v.c)::bigint score
+    from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
     "op10_url_reputation": f"""
 with rest as (
     select page_id, coalesce(case when instr(url, '://') > 0

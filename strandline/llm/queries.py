@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import url_reputation
+from strandline.llm import kdtree, packing, pfor, url_reputation, warc
 from strandline.llm.oracle import ORACLE  # noqa: F401
 
+TOKENIZER = "byte_bpe_50k.json"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -16,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark, sf_dir):
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("uri")
+
+
+def op3_token_blocks(spark, sf_dir):
+    return pfor.store_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op9_kdtree_topk(spark, sf_dir):
+    return kdtree.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_url_reputation(spark, sf_dir):
     """Verdict on every page; a labelled document of the same id gives a page's outcome."""
     labels = _table(spark, sf_dir, "labels").select(
@@ -25,5 +42,9 @@ def op10_url_reputation(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op3_token_blocks": op3_token_blocks,
+    "op7_packing": op7_packing,
+    "op9_kdtree_topk": op9_kdtree_topk,
     "op10_url_reputation": op10_url_reputation,
 }
