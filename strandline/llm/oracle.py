@@ -17,6 +17,23 @@ select page_id, b payload_bytes, d payload_digest,
     case when b >= 100 and page_id <> first_id then 'revisit' else 'response' end record_type,
     case when b >= 100 and page_id <> first_id then first_id end refers_to
 from p left join f using (d)
+""",
+    "op8_jaccard_join": """
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+sets as (
+    select doc_id, case when len(ws) >= 4 then list_distinct(list_transform(
+            range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end s from w),
+items as (select doc_id, len(s) n, unnest(s) item from sets),
+edges as (
+    select a.doc_id a, b.doc_id b from items a join items b on a.item = b.item and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (
+    select doc_id, doc_id r from sets union select b, r from reach join edges on a = doc_id)
+select doc_id, len(s) n_shingles, component_id from sets
+join (select doc_id, min(r) component_id from reach group by doc_id) using (doc_id)
 """,
     "op9_kdtree_topk": """
 with v as (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import kdtree, packing, pfor, url_reputation, warc
+from strandline.llm import credentials, jaccard, kdtree, language, packing, pfor, url_reputation, warc
 from strandline.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,14 +21,29 @@ def op1_warc(spark, sf_dir):
     return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("uri")
 
 
+def op2_secrets(spark, sf_dir):
+    return credentials.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_token_blocks(spark, sf_dir):
     return pfor.store_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_kdtree_topk(spark, sf_dir):
     return kdtree.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -43,8 +58,11 @@ def op10_url_reputation(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_secrets": op2_secrets,
     "op3_token_blocks": op3_token_blocks,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_kdtree_topk": op9_kdtree_topk,
     "op10_url_reputation": op10_url_reputation,
 }
