@@ -17,6 +17,21 @@ select page_id, b payload_bytes, d payload_digest,
     case when b >= 100 and page_id <> first_id then 'revisit' else 'response' end record_type,
     case when b >= 100 and page_id <> first_id then first_id end refers_to
 from p left join f using (d)
+""",
+    "op5_cover_tree": """
+with recursive v as (
+    select vec_id, list_transform(embedding, lambda x: x::double) c from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges as (
+    select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id
+    where list_inner_product(a.c, b.c) / sqrt(list_inner_product(a.c, a.c) * list_inner_product(b.c, b.c)) >= 0.95::double),
+reach as (
+    select vec_id, vec_id r from embeddings union select b, r from reach join edges on a = vec_id)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept
+from embeddings join (select vec_id, min(r) component_id from reach group by vec_id) using (vec_id)
+left join (select a vec_id, count(*) n from edges group by a) using (vec_id)
 """,
     "op8_jaccard_join": """
 with recursive w as (

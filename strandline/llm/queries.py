@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import credentials, jaccard, kdtree, language, packing, pfor, url_reputation, warc
+from strandline.llm import covertree, credentials, jaccard, kdtree, language, packing, pfor, url_reputation, warc
 from strandline.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op3_token_blocks(spark, sf_dir):
     return pfor.store_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_cover_tree(spark, sf_dir):
+    return covertree.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(language.training_rows(docs))
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_token_blocks": op3_token_blocks,
+    "op5_cover_tree": op5_cover_tree,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
