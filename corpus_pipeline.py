@@ -1,4 +1,88 @@
 """The corpus pipeline: stages over whole documents, each stage's rows written and read again."""
-STAGES = []
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandline.llm import credentials, jaccard, language, packing
+from strandline.llm.common import shared_folder
+from strandline.plans.sizing import lookup_side
+
+TOKENIZER = "byte_bpe_50k.json"
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+SEQUENCE_IDS = 2048
+
+
+def _aside(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Keep the documents' own columns of ``names`` under other names while an operator adds its."""
+    return docs.withColumnsRenamed({n: f"__own_{n}" for n in names if n in docs.columns})
+
+
+def _back(changed: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``docs``, in their order and under their names."""
+    return changed.select([F.col(f"__own_{c}").alias(c) if c in names else F.col(c) for c in docs.columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language: null texts and texts without a letter.
+
+    The model learns from the documents' own languages. Where none is known, no text with letters is dropped.
+    """
+    added = ["lang_pred", "score", "spans"]
+    model = language.fit(language.training_rows(docs))
+    found = language.predict(_aside(docs, added), model)
+    known = F.col("lang_pred") != language.UNKNOWN
+    kept = found.where(known if model.langs else F.col("text").rlike(r"\p{L}"))
+    return _back(kept, docs, added)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of near copies the document with the smallest id, and one row of it.
+
+    Documents without id and documents without words are kept.
+    """
+    groups = jaccard.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(lookup_side(others), "doc_id", "left_anti").select(docs.columns)
+    repeated = lookup_side(kept.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id"))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(
+        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put a mark in place of every secret; other texts stay as they are. ``n_chars`` follows the text."""
+    added = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    masked = credentials.redact(credentials.scan(_aside(docs, added)))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("spans") != "", F.length("text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return _back(masked, docs, added)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' ids into training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), SEQUENCE_IDS)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+# The guess counts and the packing are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each one's rows written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = shared_folder(spark, "pipeline")
+    for number, (_, stage) in enumerate(STAGES):
+        target = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(target)
+        docs = spark.read.parquet(target)
+    return docs

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import covertree, credentials, jaccard, kdtree, language, packing, pfor, url_reputation, warc
+from strandline.llm import covertree, credentials, jaccard, kdtree, language, packing, pfor, pieces, url_reputation, warc
 from strandline.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -29,6 +30,10 @@ def op3_token_blocks(spark, sf_dir):
     return pfor.store_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op5_cover_tree(spark, sf_dir):
     return covertree.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_token_blocks": op3_token_blocks,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_cover_tree": op5_cover_tree,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
