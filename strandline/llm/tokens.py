@@ -4,24 +4,82 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 from strandline.llm.common import worker_state
 
 CUT = re.compile(r" (?<=\S )")
-PUNCTUATION = ".,;:!?\n"
-MEMO = 500_000
+STRETCH = re.compile(r"([^\W\d_]+)([.,;:!?]*\n?)([^\W\d_]*)")
+FIRST = "\0"
+MEMO = 1_200_000
+JOINED = 200
 TEXT_CHARS = 1 << 20
 
 
-class ChunkEncoder:
+class Memo:
+    """Ids of named stretches of text, one behind the other; at most about ``memo`` stretches."""
+
+    def __init__(self, memo: int = MEMO):
+        self.memo = memo
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.count = 0
+
+    def _keep(self, names: list[str], arrays: list[np.ndarray]) -> None:
+        if not names:
+            return
+        n, start = self.count, int(self.starts[self.count])
+        ends = start + np.cumsum([len(a) for a in arrays])
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(names) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[start:ends[-1]] = np.concatenate(arrays)
+        self.starts[n + 1:n + 1 + len(names)] = ends
+        self.numbers.update(zip(names, range(n, n + len(names))))
+        self.count = n + len(names)
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def _learn(self, chunks: list[str]) -> None:
+        raise NotImplementedError
+
+    def joined(self, flat: list[str], sizes: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that are ``sizes`` stretches each; new stretches are learned."""
+        numbers = self._numbers(flat)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            if self.count + 3 * len(new) > self.memo and self.count:
+                self.clear()
+                new = np.arange(len(flat))
+            self._learn(list(dict.fromkeys(flat[i] for i in new.tolist())))
+            numbers[new] = self._numbers([flat[i] for i in new.tolist()])
+        starts = self.starts[numbers]
+        lengths = self.starts[numbers + 1] - starts
+        ends = np.cumsum(lengths)
+        take = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.ids[take]
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return [ids[a:b] for a, b in zip(stops[:-1], stops[1:])]
+
+
+class ChunkEncoder(Memo):
     """Byte-level BPE by the tokenizers library, with the ids of stretches kept between texts.
 
     The pattern that the tokenizer splits texts with never joins a space that follows a
-    non-space to what stands before it, so a text may be cut before each such space; nor does
-    it join a letter to punctuation after it. The library encodes every stretch that is new; up to
-    ``memo`` of them are kept. Texts with a special token's string go to the library whole.
+    non-space to what stands before it, so a text may be cut before each such space. Nor does it join letters to
+    punctuation or a line end beside them, so words are encoded apart from these, many in one call.
+    Up to ``memo`` stretches are kept. Texts with a special
+    token's string or a null character go to the library whole.
+
+    Stretches are named without their leading space; the first of a text, which has none, starts with ``FIRST``.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -30,51 +88,68 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = memo
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.count = 0
-
-    def _library(self, chunks: list[str]):
-        for at in range(0, len(chunks), 4096):
-            for found in self.tokenizer.encode_batch_fast(chunks[at:at + 4096], add_special_tokens=False):
-                yield found.ids
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.line = self._library(["\n"])[0][0]
+        super().__init__(memo)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + 4096], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str], space: bool) -> list[np.ndarray]:
+        """Ids of words of letters, ``JOINED`` of them in one text.
+
+        With a space before each, a word starts at every id that starts with one; without,
+        line ends stand between them.
+        """
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        glue = " " if space else "\n"
+        found = self._library([(" " if space else "") + glue.join(g) for g in groups])
+        out = []
+        for group, ids in zip(groups, found):
+            ids = np.array(ids, np.uint32)
+            marks = np.flatnonzero(self.spaced[ids] if space else ids == self.line).tolist()
+            first = marks if space else [0, *(m + 1 for m in marks)]
+            last = [*marks[1:], len(ids)] if space else [*marks, len(ids)]
+            if len(first) != len(group):
+                raise ValueError("words can't be told apart by their ids")
+            out += [ids[a:b] for a, b in zip(first, last)]
+        return out
 
     def _learn(self, chunks: list[str]) -> None:
-        """Number new chunks and keep their ids; a word and the punctuation behind it apart."""
-        heads = [w if (w := c.rstrip(PUNCTUATION)) and w[-1].isalpha() else c for c in chunks]
-        tails = [c[len(h):] for c, h in zip(chunks, heads)]
-        kept = self.numbers
-        parts = [p for p in dict.fromkeys(heads + [t for t in tails if t]) if p not in kept]
-        new = dict(zip(parts, self._library(parts)))
-        for head, tail, chunk in zip(heads, tails, chunks):
-            if head not in kept:
-                self._keep(head, new[head])
-            if tail:
-                if tail not in kept:
-                    self._keep(tail, new[tail])
-                if chunk not in kept:
-                    self._keep(chunk, np.concatenate([self._of(head), self._of(tail)]))
-
-    def _of(self, chunk: str) -> np.ndarray:
-        n = self.numbers[chunk]
-        return self.ids[self.starts[n]:self.starts[n + 1]]
-
-    def _keep(self, chunk: str, ids) -> None:
-        n, start = self.count, self.starts[self.count]
-        end = start + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if n + 2 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[start:end] = ids
-        self.starts[n + 1] = end
-        self.numbers[chunk] = n
-        self.count = n + 1
+        """Number new chunks and keep their ids."""
+        kept, plain, parts = self.numbers, {}, {True: {}, False: {}}
+        made = []
+        for chunk in chunks:
+            first = chunk[:1] == FIRST
+            found = STRETCH.fullmatch(chunk, int(first))
+            head, middle, tail = found.groups() if found else ("", "", "")
+            if head.isalpha() and (not tail or tail.isalpha() and middle):
+                parts[not first][head] = None
+                if tail:
+                    parts[False][tail] = None
+                if middle:
+                    plain[FIRST + middle] = middle
+                    made.append((chunk, head if not first else FIRST + head, middle, tail))
+            else:
+                plain[chunk] = chunk[1:] if first else " " + chunk
+        names, arrays = [], []
+        for space in (True, False):
+            words = [w for w in parts[space] if (w if space else FIRST + w) not in kept]
+            names += [w if space else FIRST + w for w in words]
+            arrays += self._words(words, space)
+        others = [name for name in plain if name not in kept]
+        names += others
+        arrays += [np.array(ids, np.uint32) for ids in self._library([plain[name] for name in others])]
+        self._keep(names, arrays)
+        whole = []
+        for chunk, head, middle, tail in made:
+            numbers = [kept[head], kept[FIRST + middle]] + ([kept[FIRST + tail]] if tail else [])
+            whole.append(np.concatenate([self.ids[self.starts[n]:self.starts[n + 1]] for n in numbers]))
+        self._keep([m[0] for m in made], whole)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; of a null one, none."""
@@ -84,26 +159,15 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(s in text for s in self.special):
+            if FIRST in text or any(s in text for s in self.special):
                 whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             cut = CUT.split(text)
+            cut[0] = FIRST + cut[0]
             sizes[i] = len(cut)
-            flat.append(cut[0])
-            flat += [" " + c for c in cut[1:]]
-        missing = [c for c in dict.fromkeys(flat) if c not in self.numbers]
-        if self.count + len(missing) > self.memo:
-            self.clear()
-            missing = list(dict.fromkeys(flat))
-        self._learn(missing)
-        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        starts = self.starts[numbers]
-        lengths = self.starts[numbers + 1] - starts
-        ends = np.cumsum(lengths)
-        take = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.ids[take]
-        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return [whole[i] if i in whole else ids[stops[i]:stops[i + 1]] for i in range(len(texts))]
+            flat += cut
+        found = self.joined(flat, sizes)
+        return [whole.get(i, ids) for i, ids in enumerate(found)]
 
 
 def encoder(path: str) -> ChunkEncoder:
