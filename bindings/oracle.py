@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from bindings.queries import ATTENTION, FOLDS, TOKEN_POOL, WIDTH, head_parameters
+from bindings.queries import ATTENTION, FOLD_IDS, FOLDS, TOKEN_POOL, WIDTH, head_parameters
 from strandline.functions.hashing import seeded_parameters
 from strandline.functions.text import NOT_A_TOKEN, WHITESPACE
 
@@ -289,15 +289,21 @@ ORACLE = {
     select doc_id, text, lang, source, n_chars, round(m, 4) as Probability,
            case when m >= 0.5 then 1 else 0 end as Prediction
     from scored""",
+    "score_rejects": f"""with {CLEANED}
+    select c.doc_id, c.lang, case when clean_sequence is null then 'null sequence'
+           when input_category is null then 'null category'
+           when not ({ACCEPTED}) then 'invalid category' else 'no features' end as reason
+    from cleaned c left join embeddings e on c.doc_id = e.vec_id
+    where not coalesce({ACCEPTED}, false) or e.embedding is null""",
     "fold_scores": "with " + ", ".join(
         f"w{f} as (select list(w order by i) filter (where i < {WIDTH}) as a, "
         f"list(w order by i) filter (where i >= {WIDTH}) as b from {_rule(f'{f}.head.weight', 2 * WIDTH, 4.0)}), "
         f"b{f} as (select list(w order by i) as b from {_rule(f'{f}.head.bias', 2, 1.0)})"
-        for f in range(FOLDS)) + " " + " union all ".join(
+        for f in FOLD_IDS) + " " + " union all ".join(
         f"""select vec_id, {f} as fold_number, round(1 / (1 + exp(
             list_dot_product((select a from w{f}), embedding::double[]) + (select b[1] from b{f})
             - list_dot_product((select b from w{f}), embedding::double[]) - (select b[2] from b{f}))), 6) as probability
-        from embeddings""" for f in range(FOLDS)),
+        from embeddings""" for f in FOLD_IDS),
     "predict_rules": f"""with {PAIRED}, scored as (select *, 1 / (1 + exp(z0 - z)) as p from pairs)
     select vec_id, round(p, 6) as probability, case when p >= 0.5 then 1 else 0 end as by_threshold,
            case when z > z0 then 1 else 0 end as by_argmax from scored""",

@@ -24,6 +24,7 @@ from strandline.plans.sizing import left_lookup, lookup_side, settle
 from strandline.sources.models import MODEL_SCHEMA, model_rows
 
 FOLDS = 5
+FOLD_IDS = [0, 2, 5, 6, 9]
 WIDTH = 64
 TOKEN_WIDTH = 8
 ALLOWED = ["EN", "DE", "FR"]
@@ -79,19 +80,27 @@ def _long(df, key, array, name):
 # ---- scoring
 
 def ensemble_score(spark, sf_dir):
+    return _ensemble(spark, sf_dir, scoring.score_records)
+
+
+def score_rejects(spark, sf_dir):
+    return _ensemble(spark, sf_dir, scoring.score_rejects).select("doc_id", "lang", "reason")
+
+
+def _ensemble(spark, sf_dir, part):
     labelled = _features(spark, sf_dir).join(
         _table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     folded = labelled.withColumn(
         "fold", F.floor(unit(digest(F.lit("fold"), F.col("doc_id"))) * FOLDS).cast("int"))
     models = settle(scoring.centroid_heads(folded, "fold", "quality", "embedding"))
-    records = _table(spark, sf_dir, "documents").join(_features(spark, sf_dir), "doc_id")
-    return scoring.score_records(
+    records = _table(spark, sf_dir, "documents").join(_features(spark, sf_dir), "doc_id", "left")
+    return part(
         records, [F.col("embedding")], models, sequence="text", category="lang",
         allowed=ALLOWED, no_category=NO_CATEGORY).drop("embedding")
 
 
 def fold_scores(spark, sf_dir):
-    models = spark.createDataFrame([row for f in range(FOLDS) for row in model_rows(f, {
+    models = spark.createDataFrame([row for f in FOLD_IDS for row in model_rows(f, {
         "head.weight": seeded_parameters(f"{f}.head.weight", 2, WIDTH, scale=4.0),
         "head.bias": seeded_parameters(f"{f}.head.bias", 2)})], MODEL_SCHEMA)
     rows = _table(spark, sf_dir, "embeddings")
@@ -181,8 +190,9 @@ def mixed_union(spark, sf_dir):
 
 def _mixed(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    categorised = rows.where("lang != 'en'").withColumn("category", tidy_category(F.col("lang")))
-    plain = rows.where("lang = 'en'")
+    plainly = F.col("lang").eqNullSafe("en")
+    categorised = rows.where(~plainly).withColumn("category", tidy_category(F.col("lang")))
+    plain = rows.where(plainly)
     words = settle(vocab.build_vocab(categorised, "category"))
     return union.mixed_union(categorised, plain, words, category="category")
 
@@ -413,21 +423,22 @@ def _trainable(spark, sf_dir):
 def train_kfold(spark, sf_dir):
     rows = _trainable(spark, sf_dir)
     run = training.train_kfold(
-        rows.where("lang != 'en'"), "doc_id", F.col("embedding"), "category", "chain_index", 5,
-        "Label", plain=rows.where("lang = 'en'").drop("category"), k=FOLDS)
+        rows.where(~F.col("lang").eqNullSafe("en")), "doc_id", F.col("embedding"), "category", "chain_index", 5,
+        "Label", plain=rows.where(F.col("lang").eqNullSafe("en")).drop("category"), k=FOLDS)
     return run.report
 
 
 def train_holdout(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("Label"))
     rows = _table(spark, sf_dir, "documents").join(labels, "doc_id").withColumn(
-        "counts", residue_counts(F.col("text"), "abcdefghijklmnopqrstuvwxyz"))
+        "counts", residue_counts(F.lower("text"), "abcdefghijklmnopqrstuvwxyz"))
     return training.train_holdout(
         rows, "doc_id", F.col("counts"), "Label", _bin_stratum()).report
 
 
 QUERIES = {
     "ensemble_score": ensemble_score,
+    "score_rejects": score_rejects,
     "fold_scores": fold_scores,
     "predict_rules": predict_rules,
     "dense_head": dense_head,

@@ -10,14 +10,19 @@ def softmax_positive(l0: Column, l1: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(l0 - l1))
 
 
+def is_number(value: Column) -> Column:
+    """Whether a value is neither null nor NaN."""
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def threshold_rule(probability: Column, threshold: float = 0.5) -> Column:
-    """1 from the threshold on (so 1 at exactly 0.5)."""
-    return F.when(probability >= threshold, 1).otherwise(0)
+    """1 from the threshold on (so 1 at exactly 0.5); null without a probability."""
+    return F.when(is_number(probability), F.when(probability >= threshold, 1).otherwise(0))
 
 
 def argmax_rule(l0: Column, l1: Column) -> Column:
-    """Index of the larger logit; the first wins a tie (so 0 at probability 0.5)."""
-    return F.when(l1 > l0, 1).otherwise(0)
+    """Index of the larger logit; the first wins a tie (so 0 at probability 0.5); null without both."""
+    return F.when(is_number(l0) & is_number(l1), F.when(l1 > l0, 1).otherwise(0))
 
 
 def argmax(values: Column) -> Column:

@@ -55,8 +55,11 @@ def residue_counts(sequence: Column, residues: str) -> Column:
     @F.arrow_udf("array<double>")
     def batch(texts: pa.Array) -> pa.Array:
         valid = texts.is_valid().to_numpy(zero_copy_only=False)
-        counts = [np.bincount(place[np.frombuffer(t.as_buffer(), np.uint8)], minlength=len(residues) + 1)
-                  for t in texts.drop_null().cast(pa.large_binary())]
-        table = np.array(counts, dtype=float).reshape(-1, len(residues) + 1)
+        packed = texts.drop_null().cast(pa.large_binary())
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1]
+        raw = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(packed) else np.zeros(0, np.uint8)
+        width = len(residues) + 1
+        cells = np.repeat(np.arange(len(packed)) * width, np.diff(ends) if len(packed) else 0) + place[raw]
+        table = np.bincount(cells, minlength=len(packed) * width).reshape(-1, width).astype(float)
         return to_lists(table[:, :-1], valid)
     return batch(sequence)

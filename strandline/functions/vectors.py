@@ -109,6 +109,15 @@ def prefix_mask(mask: Column) -> Column:
 
 
 def in_tokens(vector: Column, width: int) -> Column:
-    """Cut one long vector into consecutive vectors of ``width``."""
-    starts = F.sequence(F.lit(1), F.size(vector) - width + 1, F.lit(width))
-    return F.transform(starts, lambda s: F.slice(vector, s, width))
+    """Cut one long vector into consecutive vectors of ``width``.
+
+    Fails on a vector whose length is no multiple of ``width``; an empty one gives no vectors.
+    """
+    count = F.size(vector)
+    starts = F.when(count > 0, F.sequence(F.lit(1), count - width + 1, F.lit(width))).otherwise(
+        F.array().cast("array<int>"))
+    tokens = F.transform(starts, lambda s: F.slice(vector, s, width))
+    odd = F.raise_error(F.concat(F.lit("a vector of "), count.cast("string"), F.lit(
+        f" numbers can't be cut into vectors of {width}")))
+    return F.when(vector.isNull(), None).when(count % width != 0, odd.cast("array<array<double>>")).otherwise(
+        tokens.cast("array<array<double>>"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandline.functions.vectors import normalise, to_lists, to_matrix
 from strandline.sources.models import fold_groups, load_folds
 
-BATCH_ROWS = 32  # keeps the intermediate arrays of a batch inside the processor cache
+CACHE_NUMBERS = 1 << 14  # numbers of a slice, so that its intermediate arrays stay inside the processor cache
 
 # Normal distribution on a grid over [-9, 9]; beyond it the tail is below double precision.
 _EDGE, _STEPS = 9, 128
@@ -95,6 +95,13 @@ def _as_numpy(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def _slice_rows(columns: list[pa.Array]) -> int:
+    """Rows per slice: all of a batch of plain vectors, or what the cache holds of token vectors."""
+    tokens = [c for c in columns if pa.types.is_list(c.type) and pa.types.is_list(c.type.value_type)]
+    numbers = sum(len(c.flatten().flatten()) for c in tokens)
+    return max(1, len(columns[0]) * CACHE_NUMBERS // numbers) if numbers else max(1, len(columns[0]))
+
+
 def head_logits(
     inputs: list[Column], models: DataFrame, forward: Callable[..., np.ndarray],
 ) -> Column:
@@ -123,8 +130,9 @@ def _batched(parameters, forward):
         keep = pa.array(valid)
         kept = [c.filter(keep) for c in columns]
         scored = []
-        for start in range(0, len(kept[0]), BATCH_ROWS):
-            arrays = [_as_numpy(c.slice(start, BATCH_ROWS)) for c in kept]
+        rows = _slice_rows(kept)
+        for start in range(0, len(kept[0]), rows):
+            arrays = [_as_numpy(c.slice(start, rows)) for c in kept]
             scored.append(np.concatenate([forward(p, *arrays) for p in parameters()], axis=1))
         return to_lists(np.concatenate(scored), valid)
     return batch

@@ -36,20 +36,33 @@ def confusion(label: Column, prediction: Column) -> dict[str, Column]:
 
 
 def metrics_by_group(
-    df: DataFrame, label: Column, prediction: Column, by: list[str] = [],
+    df: DataFrame, label: Column, prediction: Column, by: list[str] = [], count_skipped: bool = False,
 ) -> DataFrame:
-    """Accuracy, MCC, F1, recall and precision per group, from one conditional aggregate."""
-    cells = df.groupBy(*by).agg(*confusion(label, prediction).values())
+    """Accuracy, MCC, F1, recall and precision per group, from one conditional aggregate.
+
+    Rows whose label or prediction is null or not 0/1 are in no cell; ``count_skipped`` adds their
+    number as ``skipped``.
+    """
+    cells = df.groupBy(*by).agg(*confusion(label, prediction).values(), skipped(label, prediction))
     metrics = count_metrics(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
-    return cells.select(*by, *[m.alias(name) for name, m in metrics.items()])
+    return cells.select(*by, *[m.alias(name) for name, m in metrics.items()], *["skipped"] * count_skipped)
+
+
+def skipped(label: Column, prediction: Column) -> Column:
+    """Aggregate: rows that the confusion table can't count."""
+    usable = label.isin(0, 1) & prediction.isin(0, 1)
+    return F.coalesce(F.sum((~F.coalesce(usable, F.lit(False))).cast("long")), F.lit(0)).alias("skipped")
 
 
 def metric_bundle(
     df: DataFrame, label: Column, score: Column, prediction: Column, by: list[str] = [],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, count_skipped: bool = False,
 ) -> DataFrame:
     """All seven metrics per group: ``acc mcc f1 auc pr_auc recall precision``.
 
+    Rows whose label or prediction is null or not 0/1 are in no cell of the confusion table, and
+    those with such a label on no curve; ``count_skipped`` adds their number as ``skipped``.
+
     Rows are first reduced to one row per distinct score, with partial sums map-side; the
     curve areas then need running counts in score order, which ``running`` splits.
     AUC counts ties half and is 0.5 with one class; ``pr_auc`` is average precision over
@@ -60,7 +73,7 @@ def metric_bundle(
     points = settle(named.groupBy(*keys, score.alias("__score")).agg(
         F.sum((label == 1).cast("long")).alias("p"),
         F.sum((label == 0).cast("long")).alias("n"),
-        *confusion(label, prediction).values()))
+        *confusion(label, prediction).values(), skipped(label, prediction)))
     curve = running(points, keys, [F.col("__score").desc()], {
         "up_p": ("sum", F.col("p")), "up_n": ("sum", F.col("n"))}, True, hot_rows)
     p, n, up_p, up_n = (F.col(c).cast("double") for c in ("p", "n", "up_p", "up_n"))
@@ -68,7 +81,7 @@ def metric_bundle(
         F.sum("p").cast("double").alias("__p"), F.sum("n").cast("double").alias("__n"),
         F.sum(n * (up_p - p) + 0.5 * n * p).alias("__area"),
         F.sum(F.when(up_p + up_n > 0, p * up_p / (up_p + up_n)).otherwise(0.0)).alias("__ap"),
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "skipped")])
     if not by:  # an empty input still gives one row
         totals = totals.groupBy().agg(*[F.sum(c).alias(c) for c in totals.columns if c != "__all"])
     both = F.coalesce(F.least("__p", "__n"), F.lit(0.0)) > 0
@@ -76,7 +89,8 @@ def metric_bundle(
         "auc": F.when(both, F.col("__area") / (F.col("__p") * F.col("__n"))).otherwise(0.5),
         "pr_auc": F.when(F.col("__p") > 0, F.col("__ap") / F.col("__p")).otherwise(0.0),
     }
-    return totals.select(*by, *[m.alias(name) for name, m in metrics.items()])
+    return totals.select(*by, *[m.alias(name) for name, m in metrics.items()],
+                         *[F.coalesce("skipped", F.lit(0)).alias("skipped")] * count_skipped)
 
 
 def auc_ap(

@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.functions.hashing import digest, unit
 from strandline.functions.vectors import dot
 
+MASKED = 1e-300
+
 
 def vector_means(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Mean vector per group, in long form ``by, pos, mean``.
 
-    Partial sums are combined map-side, so at most one row per group and position leaves
-    a task however large the group is.
+    One JVM buffer per group is combined map-side, so at most one row per group leaves a task
+    however large the group is. Rows without a vector don't count.
     """
-    return df.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("mean"))
+    return _weighted_means(df, by, F.col(vector), F.lit(1.0), "mean")
+
+
+def _weighted_means(df: DataFrame, by: list[str], vector: Column, weight: Column, name: str) -> DataFrame:
+    """Weighted mean vector per group in long form; only one row per group is ever exploded."""
+    rows = df.where(vector.isNotNull()).select(
+        *by, array_to_vector(vector.cast("array<double>")).alias("__x"), weight.alias("__w"))
+    means = rows.groupBy(*by).agg(vector_to_array(
+        Summarizer.mean(F.col("__x"), F.col("__w"))).alias("__mean"))
+    return means.select(*by, F.posexplode("__mean").alias("pos", name))
 
 
 def gather_vectors(long: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -38,12 +50,13 @@ def attention_pool(
 
     The tokens come one per row. Scores lie in [-1, 1], so ``sum(e x) / sum(e)`` is safe as
     it stands: one aggregate with map-side combine, no window and no whole group in a task.
-    Tokens with mask 0 take no part; a group of such tokens only gives no row.
+    Tokens with mask 0 (or null) have a weight that vanishes beside any other; a group of such tokens
+    alone gets their plain mean.
     """
-    kept = tokens if mask is None else tokens.where(F.col(mask) != 0)
-    weighted = kept.withColumn("__e", F.exp(attention_score(F.col(vector), weights, bias)))
-    return weighted.select(*by, "__e", F.posexplode(vector).alias("pos", "x")).groupBy(
-        *by, "pos").agg((F.sum(F.col("__e") * F.col("x")) / F.sum("__e")).alias("pooled"))
+    weight = F.exp(attention_score(F.col(vector), weights, bias))
+    if mask is not None:
+        weight = F.when(F.col(mask) != 0, weight).otherwise(F.lit(MASKED))
+    return _weighted_means(tokens, by, F.col(vector), weight, "pooled")
 
 
 def noise_augment(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.functions.losses import argmax_rule, softmax_positive, threshold_rule
 from strandline.operators.heads import head_logits, linear_head
+from strandline.sources.models import list_folds
 
 
 def fold_probabilities(logits: Column) -> Column:
@@ -44,10 +45,15 @@ def fold_scores(
     df: DataFrame, inputs: list[Column], models: DataFrame,
     forward: Callable[..., np.ndarray] = linear_head,
 ) -> DataFrame:
-    """One row per input row and fold: all input columns, ``fold_number``, ``probability``."""
+    """One row per scored row and fold: all input columns, ``fold_number``, ``probability``.
+
+    Fold numbers are those of the model table, which may have holes.
+    """
+    folds = F.array(*[F.lit(f) for f in list_folds(models)])
     scored = df.withColumn("__logits", head_logits(inputs, models, forward))
-    return scored.select(*df.columns, F.posexplode(
-        fold_probabilities(F.col("__logits"))).alias("fold_number", "probability"))
+    pairs = F.zip_with(folds, fold_probabilities(F.col("__logits")), lambda f, p: F.struct(
+        f.alias("fold_number"), p.alias("probability")))
+    return scored.where(F.col("__logits").isNotNull()).select(*df.columns, F.inline(pairs))
 
 
 def predict_rules(df: DataFrame, l0: Column, l1: Column, threshold: float = 0.5) -> DataFrame:

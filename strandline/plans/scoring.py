@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from strandline.operators.clean import CHAINS, NO_CHAIN, clean_route
+from strandline.functions.losses import is_number
+from strandline.operators.clean import CHAINS, NO_CHAIN, inspect_records
 from strandline.operators.heads import linear_head
 from strandline.operators.score import ensemble_score
 from strandline.sources.models import read_models
 from strandline.sources.tables import read_table, require_columns, write_table
 
+NO_FEATURES = "no features"
+NO_SCORE = "no score"
+
 
 def score_records(
     records: DataFrame, inputs: list[Column], models: DataFrame,
@@ -22,29 +27,56 @@ def score_records(
 ) -> DataFrame:
     """Check columns, drop rejects, score by the ensemble; input columns plus two new ones.
 
+    Rows without a score (null or incomplete features, a result that is no number) are no predictions;
+    ``score_rejects`` lists them with the other rejects.
+
     ``inputs`` are the feature columns the head takes and may use ``clean_sequence`` and
     ``routed_category``. Without aggregate or shuffle, so it also runs on a stream, and an
     empty input gives an empty output of the same schema.
     """
+    scored = _scored(records, inputs, models, forward, sequence, category, allowed, no_category, threshold)
+    return scored.where(F.col("reason").isNull()).select(*records.columns, "Probability", "Prediction")
+
+
+def _scored(records, inputs, models, forward, sequence, category, allowed, no_category, threshold):
+    """All records with ``Probability``, ``Prediction`` and the ``reason`` of those without."""
     require_columns(records, [sequence, category])
-    good = clean_route(records, sequence=sequence, category=category, allowed=allowed,
-                       no_category=no_category)
-    return ensemble_score(good, inputs, models, forward, threshold).select(
-        *records.columns, "Probability", "Prediction")
+    inspected = inspect_records(records, sequence=sequence, category=category, allowed=allowed,
+                                no_category=no_category)
+    taken = [F.when(F.col("reason").isNull(), c) for c in inputs]
+    missing = reduce(lambda a, b: a | b, [c.isNull() for c in inputs])
+    return ensemble_score(inspected, taken, models, forward, threshold).withColumn(
+        "reason", F.coalesce(F.col("reason"), F.when(missing, NO_FEATURES), F.when(
+            ~is_number(F.col("Probability")), NO_SCORE)))
+
+
+def score_rejects(
+    records: DataFrame, inputs: list[Column], models: DataFrame,
+    forward: Callable[..., np.ndarray] = linear_head,
+    sequence: str = "Sequence", category: str = "Fatty_acid_chain",
+    allowed: list[str] = CHAINS, no_category: str = NO_CHAIN, threshold: float = 0.5,
+) -> DataFrame:
+    """Every record that ``score_records`` gives no prediction for, with the ``reason``."""
+    scored = _scored(records, inputs, models, forward, sequence, category, allowed, no_category, threshold)
+    return scored.where(F.col("reason").isNotNull()).select(*records.columns, "reason")
 
 
 def score_file(
     spark: SparkSession, models_path: str, input_path: str, features: list[str],
-    output_path: str = "predictions.csv", schema: T.StructType | str | None = None, **options,
+    output_path: str = "predictions.csv", schema: T.StructType | str | None = None,
+    rejects_path: str | None = None, **options,
 ) -> None:
     """Score a table file with the saved fold models and write the predictions.
 
-    ``features`` names the columns the head takes; they are left out of the output.
+    ``features`` names the columns the head takes; they are left out of the output. Records
+    without a prediction go to ``rejects_path``, if given, with the reason.
     """
     records = require_columns(read_table(spark, input_path, schema), features)
-    scored = score_records(records, [F.col(c) for c in features], read_models(spark, models_path),
-                           **options)
-    write_table(scored.drop(*features), output_path)
+    models = read_models(spark, models_path)
+    inputs = [F.col(c) for c in features]
+    write_table(score_records(records, inputs, models, **options).drop(*features), output_path)
+    if rejects_path:
+        write_table(score_rejects(records, inputs, models, **options).drop(*features), rejects_path)
 
 
 def centroid_heads(

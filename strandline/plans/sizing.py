@@ -55,9 +55,17 @@ def hinted(settled: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def compact(settled: DataFrame, target_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Merge partitions down to about ``target_bytes`` each, for tables read many times."""
-    wanted = -(-text_bytes(settled) // target_bytes)
-    return settled.coalesce(max(1, wanted))
+    """Merge partitions down to about ``target_bytes`` each, for tables read many times.
+
+    The size is that of the rows and of the longest array in each column; never fewer partitions
+    than cores, so that no fit runs in a single task.
+    """
+    row = settled.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.max(F.size(f.name)).alias(f"__{i}") for i, f in enumerate(settled.schema.fields)
+        if f.dataType.typeName() == "array"]).first()
+    width = 16 * len(settled.columns) + 8 * sum(n or 0 for n in row[1:])
+    wanted = -(-row.rows * width // target_bytes)
+    return settled.coalesce(max(wanted, settled.sparkSession.sparkContext.defaultParallelism))
 
 
 def left_lookup(

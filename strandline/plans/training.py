@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandline.functions.losses import argmax_rule, softmax_positive
 from strandline.functions.text import stratum_key
 from strandline.operators.heads import linear_head, row_head
-from strandline.operators.history import best_checkpoint
+from strandline.operators.history import cv_summary
 from strandline.operators.metrics import COUNT_METRICS, CURVE_METRICS, metric_bundle
 from strandline.operators.split import stratified_kfold, stratified_split, train_part
 from strandline.operators.union import sample_group
@@ -28,18 +28,28 @@ from strandline.sources.models import MODEL_SCHEMA, model_rows, save_fold
 from strandline.sources.tables import append_history, write_table
 
 GRID = (0.01, 0.1)  # regularisation strengths, tried in this order
-ITERATIONS = 20
-TOLERANCE = 1e-4
-PARALLEL_FITS = 8
+
+
+@dataclass
+class Fit:
+    """How MLlib fits: its own defaults, and how many fits run at once."""
+
+    max_iter: int = 100
+    tol: float = 1e-6
+    parallel: int = 2
 
 
 @dataclass
 class Training:
-    """What a training run leaves: the metric history, the best models, the reports."""
+    """What a training run leaves: the metric history, the best models, the reports.
+
+    ``summary`` is the mean over folds of the best validation metric (k-fold only).
+    """
 
     history: DataFrame
     models: DataFrame
     report: DataFrame
+    summary: DataFrame | None = None
 
 
 def save_training(run: Training, folder: str) -> None:
@@ -69,18 +79,18 @@ def fold_weights(df: DataFrame, group: str, fold: str, k: int, name: str) -> Dat
     return left_lookup(df, lookup_side(table), [group])
 
 
-def _fit_all(jobs: list[tuple], data_of, weight_of) -> dict[tuple, dict]:
+def _fit_all(jobs: list[tuple], data_of, weight_of, how: Fit) -> dict[tuple, LogisticRegressionModel]:
     def fit(job):
         part, candidate, reg = job
         learner = LogisticRegression(
-            maxIter=ITERATIONS, tol=TOLERANCE, regParam=reg, labelCol="label", featuresCol="features",
+            maxIter=how.max_iter, tol=how.tol, regParam=reg, labelCol="label", featuresCol="features",
             weightCol="weight")
         rows = data_of(part).select(array_to_vector("features").alias("features"), "label",
                                     weight_of(part).alias("weight"))
-        return (part, candidate), _parameters(learner.fit(rows))
+        return (part, candidate), learner.fit(rows)
 
     spark = data_of(jobs[0][0]).sparkSession
-    with ThreadPool(PARALLEL_FITS) as pool:
+    with ThreadPool(how.parallel) as pool:
         return dict(pool.map(inheritable_thread_target(spark)(fit), jobs))
 
 
@@ -99,12 +109,34 @@ def _scored(rows: DataFrame, heads: dict[tuple, dict], grid: tuple) -> DataFrame
         softmax_positive(l0, l1).alias("score"), argmax_rule(l0, l1).alias("prediction"))
 
 
-def _history(metrics: DataFrame, run: str) -> DataFrame:
+def _history(metrics: DataFrame, trained: DataFrame, fits: dict, run: str) -> DataFrame:
+    """Validation metrics, the same on the training part (``train_...``), and how each fit went."""
     names = [*COUNT_METRICS, *CURVE_METRICS]
-    return metrics.select(
-        F.lit(run).alias("run"), "fold", F.col("candidate").alias("epoch"),
-        F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias(
-            "tag", "value"))
+
+    def tags(table, prefix):
+        return table.select(
+            F.lit(run).alias("run"), F.col("fold").cast("int").alias("fold"), F.col("candidate").alias("epoch"),
+            F.explode(F.create_map(*[x for n in names for x in (F.lit(prefix + n), F.col(n))])).alias("tag", "value"))
+
+    went = [(run, int(f), int(c), tag, float(value)) for (f, c), model in fits.items() for tag, value in (
+        ("iterations", model.summary.totalIterations), ("train_loss", list(model.summary.objectiveHistory)[-1]))]
+    return tags(metrics, "").unionByName(tags(trained, "train_")).unionByName(
+        metrics.sparkSession.createDataFrame(went, "run string, fold int, epoch int, tag string, value double"))
+
+
+def _best(history: DataFrame) -> DataFrame:
+    """The candidate of the largest MCC of each fold over the whole grid; the first one wins a tie.
+
+    Candidates are no epochs, so none is left out after poor ones.
+    """
+    counts = (F.col("value") > -1) & ~F.isnan("value")
+    return history.where("tag = 'mcc'").groupBy("fold").agg(
+        F.max_by("epoch", F.when(counts, F.struct("value", -F.col("epoch")))).alias("best_epoch"),
+        F.max(F.when(counts, F.col("value"))).alias("best_value"))
+
+
+def _metrics(scored: DataFrame) -> DataFrame:
+    return metric_bundle(scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"])
 
 
 def _parameters(model: LogisticRegressionModel) -> dict[str, np.ndarray]:
@@ -116,7 +148,7 @@ def _parameters(model: LogisticRegressionModel) -> dict[str, np.ndarray]:
 def train_kfold(
     df: DataFrame, key: str, features: Column, category: str, index: str, categories: int,
     label: str, plain: DataFrame | None = None, k: int = 5, grid: tuple = GRID, seed: int = 42,
-    run: str = "kfold", patience: int = 8,
+    run: str = "kfold", how: Fit = Fit(),
 ) -> Training:
     """Per fold: fit on the other folds (and ``plain``) with balancing weights, keep the best.
 
@@ -137,14 +169,17 @@ def train_kfold(
         F.col(label).cast("double").alias("label"), "fold", "sample_group",
     ))), "sample_group", "fold", k, "weights")
 
-    fitted = _fit_all([(f, c, reg) for f in range(k) for c, reg in enumerate(grid)],
-                      lambda f: train_part(data, f), lambda f: F.col("weights")[f])
+    data = settle(data)
+    fits = _fit_all([(f, c, reg) for f in range(k) for c, reg in enumerate(grid)],
+                    lambda f: train_part(data, f), lambda f: F.col("weights")[f], how)
+    fitted = {job: _parameters(model) for job, model in fits.items()}
     scored = _scored(data.where(F.col("fold").isNotNull()), fitted, grid)
-    metrics = settle(metric_bundle(
-        scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"]))
-    history = _history(metrics, run)
-    best = settle(best_checkpoint(
-        history.where(F.col("tag") == "mcc"), ["fold"], patience=patience))
+    own = data.withColumn("fold", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.col("fold").isNull() | (f != F.col("fold")))))
+    trained = settle(_metrics(_scored(own, fitted, grid)))
+    metrics = settle(_metrics(scored))
+    history = _history(metrics, trained, fits, run)
+    best = settle(_best(history))
     chosen = {r.fold: r.best_epoch for r in best.collect()}
     models = data.sparkSession.createDataFrame([
         row for f, c in chosen.items() if c is not None
@@ -159,12 +194,13 @@ def train_kfold(
     report = (
         best.select("fold", F.col("best_epoch").alias("candidate"))
         .join(metrics, ["fold", "candidate"], "left").join(counts, "fold").orderBy("fold"))
-    return Training(history, models, report)
+    summary = cv_summary(best.withColumn("run", F.lit(run)), ["run"])
+    return Training(history, models, report, summary)
 
 
 def train_holdout(
     df: DataFrame, key: str, features: Column, label: str, stratum: Column,
-    grid: tuple = GRID, seed: int = 42, run: str = "holdout", patience: int = 5,
+    grid: tuple = GRID, seed: int = 42, run: str = "holdout", how: Fit = Fit(),
     test: DataFrame | None = None,
 ) -> Training:
     """70/15/15 split, fit on train, choose by validation MCC, report on test in one row.
@@ -175,14 +211,13 @@ def train_holdout(
     target = F.col(label).cast("double").alias("label")
     data = compact(settle(
         stratified_split(df, stratum, key, seed=seed).select(vector, target, "split")))
-    fitted = _fit_all([(0, c, reg) for c, reg in enumerate(grid)],
-                      lambda _: data.where("split = 'train'"), lambda _: F.lit(1.0))
-    scored = _scored(data.where("split = 'val'").withColumn("fold", F.lit(0)), fitted, grid)
-    metrics = settle(metric_bundle(
-        scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"]))
-    history = _history(metrics, run)
-    best = best_checkpoint(
-        history.where(F.col("tag") == "mcc"), ["fold"], patience=patience).first()
+    fits = _fit_all([(0, c, reg) for c, reg in enumerate(grid)],
+                    lambda _: data.where("split = 'train'"), lambda _: F.lit(1.0), how)
+    fitted = {job: _parameters(model) for job, model in fits.items()}
+    metrics, trained = (settle(_metrics(_scored(
+        data.where(F.col("split") == part).withColumn("fold", F.lit(0)), fitted, grid))) for part in ("val", "train"))
+    history = _history(metrics, trained, fits, run)
+    best = _best(history).first()
     if best is None or best.best_epoch is None:
         raise ValueError("no candidate exceeds an MCC of -1 on the validation part")
     chosen = fitted[0, best.best_epoch]

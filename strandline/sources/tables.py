@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 PEPTIDE_SCHEMA = T.StructType([
     T.StructField("peptide_id", T.StringType()),
@@ -15,26 +15,35 @@ SCORING_COLUMNS = ["Sequence", "Fatty_acid_chain"]
 TRAINING_COLUMNS = ["Sequence", "Label", "Length"]
 
 _FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
-
-
-def format_of(path: str) -> str:
-    """File format by suffix, in any letter case."""
-    for suffix, name in _FORMATS.items():
-        if path.lower().rstrip("/").endswith(suffix):
-            return name
+_COMPRESSED = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate")
+
+
+def format_of(path: str, format: str | None = None) -> str:
+    """File format as given, or else by suffix in any letter case; a compression's suffix may follow."""
+    if format is not None:
+        if format not in _FORMATS.values():
+            raise ValueError(f"unknown table format: {format} (use {', '.join(_FORMATS.values())})")
+        return format
+    name = path.lower().rstrip("/")
+    for suffix in _COMPRESSED:
+        name = name.removesuffix(suffix)
+    for suffix, kind in _FORMATS.items():
+        if name.endswith(suffix):
+            return kind
     raise ValueError(f"unknown table format: {path} (use {', '.join(_FORMATS)})")
 
 
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-    multiline: bool = False,
+    multiline: bool = False, format: str | None = None,
 ) -> DataFrame:
     """Read a CSV (with header), Parquet or JSON table.
 
     Give a schema for large CSV or JSON files: without one Spark scans them once more.
     ``multiline`` allows line breaks inside quoted CSV fields, but such a file is not split.
+    ``format`` is for paths without a suffix, such as folders.
     """
-    kind = format_of(path)
+    kind = format_of(path, format)
     reader = spark.read.format(kind)
     if kind == "csv":
         reader = reader.options(header=True, escape='"', multiLine=multiline,
@@ -45,9 +54,24 @@ def read_table(
 
 
 def read_peptides(spark: SparkSession, path: str) -> DataFrame:
-    """Read a peptide CSV by position under the declared schema, whatever its id column's name."""
-    reader = spark.read.schema(PEPTIDE_SCHEMA)
-    return reader.options(header=True, enforceSchema=True).csv(path)
+    """Read a peptide CSV by the names in its header, in any order.
+
+    ``Sequence``, ``Label`` and ``Length`` have to be there, ``Fatty_acid_chain`` may be. The first
+    column of another name is the id, whatever it is called; further ones are left out. Columns
+    that the file lacks are null. The driver reads the header only.
+    """
+    raw = spark.read.options(header=True, escape='"').csv(path)
+    require_columns(raw, TRAINING_COLUMNS)
+    known = [f.name for f in PEPTIDE_SCHEMA]
+    own = "peptide_id" if "peptide_id" in raw.columns else next((c for c in raw.columns if c not in known), None)
+
+    def column(field):
+        name = own if field.name == "peptide_id" else field.name
+        value = F.col(f"`{name}`") if name in raw.columns else F.lit(None)
+        kind = field.dataType.simpleString()
+        return (value if kind == "string" else F.expr(f"try_cast(`{name}` as {kind})")).cast(kind).alias(field.name)
+
+    return raw.select([column(f) for f in PEPTIDE_SCHEMA])
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
