@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from bindings.queries import ATTENTION, FOLD_IDS, FOLDS, TOKEN_POOL, WIDTH, head_parameters
+from bindings.queries import ATTENTION, FOLD_IDS, FOLDS, SHRINKAGE, TOKEN_POOL, WIDTH, head_parameters
 from strandline.functions.hashing import seeded_parameters
 from strandline.functions.text import NOT_A_TOKEN, WHITESPACE
 
@@ -221,6 +221,72 @@ CENTROID_HEADS = f"""folded as (
     heads as (select fold, list(m1 - m0 order by pos) as w, sum(m0 * m0 - m1 * m1) / 2 as b from means group by fold)"""
 
 
+def _centroid_heads(train: str) -> str:
+    """CTEs after a table with f, w, y, x: heads of every part f and shrinkage c."""
+    grid = ", ".join(f"({c}, {v!r}::double)" for c, v in enumerate(SHRINKAGE))
+    return f"""elements as (select f, y, w, unnest(range(0, len(x))) as pos, unnest(x) as v from {train}),
+    sums as (select f, y, pos, sum(v * w) as s, sum(w) as c from elements group by f, y, pos),
+    means as (
+        select f, pos, max(case when y = 0 then s / c end) as m0, max(case when y = 1 then s / c end) as m1,
+               sum(s) / sum(c) as m from sums group by f, pos),
+    grid as (select * from (values {grid}) t(c, r)),
+    moved as (select f, pos, c, (1 - r) * m0 + r * m as m0, (1 - r) * m1 + r * m as m1 from means, grid),
+    heads as (
+        select f, c, list(m1 - m0 order by pos) as h, sum(m0 * m0 - m1 * m1) / 2 as b from moved group by f, c)"""
+
+
+def _judged(rows: str) -> str:
+    """CTEs after a table with g, y, z: the metrics of every g."""
+    return f"""scored as (
+        select g, y, 1 / (1 + exp(-z)) as score, case when z > 0 then 1 else 0 end as yhat from {rows}),
+    {_curve('scored')},
+    cells as (select g, {COUNTS} from scored group by g),
+    judged as (select g, {COUNT_METRICS}, round(auc, 6) as auc, round(pr_auc, 6) as pr_auc from cells join areas using (g))"""
+
+
+def _train_kfold() -> str:
+    return f"""with {LABELLED},
+    base as (
+        select doc_id, upper(lang) as category, lang, labelled.Label as Label, list_concat(embedding::double[], list_transform(
+            range(0, 5), lambda i: case when i = case upper(lang) when 'DE' then 0 when 'ES' then 1 when 'FR' then 2
+                else 3 end then 1.0::double else 0.0::double end)) as x
+        from labelled join embeddings on doc_id = vec_id),
+    categorised as (select * from base where lang is distinct from 'en'),
+    {_kfold('categorised', 'doc_id', "category || '_' || Label")},
+    rows_of as (
+        select Label as y, x, fold, s as grp from folded
+        union all select Label, x, null, 'Linear_' || Label from base where lang = 'en'),
+    parts as (select p.f, r.* from rows_of r, range(0, {FOLDS}) p(f) where fold is null or fold <> p.f),
+    weights as (select f, grp, 1 / count(*)::double as w from parts group by f, grp),
+    train as (select f, y, x, w from parts join weights using (f, grp)),
+    {_centroid_heads('train')},
+    held as (select f * 10 + c as g, y, list_dot_product(h, x) + b as z from rows_of join heads on f = fold),
+    {_judged('held')},
+    best as (select g // 10 as fold, g % 10 as candidate, judged.*,
+                    row_number() over (partition by g // 10 order by mcc desc, g) as r from judged)
+    select cast(fold as int) as fold, cast(candidate as int) as candidate, acc, mcc, f1, auc, pr_auc, recall, precision,
+           (select count(*) from rows_of) - (select count(*) from rows_of o where o.fold = best.fold) as train_rows,
+           (select count(*) from rows_of o where o.fold = best.fold) as val_rows,
+           round((select avg(mcc) from best where r = 1), 6) as cv_mcc
+    from best where r = 1"""
+
+
+def _train_holdout() -> str:
+    letters = "list_transform(range(97, 123), lambda i: (length(t) - length(replace(t, chr(i::int), '')))::double)"
+    return f"""with labelled as (
+        select d.doc_id, d.n_chars, l.quality as Label, {letters} as x
+        from (select *, lower(text) as t from documents) d join labels l on d.doc_id = l.doc_id),
+    {_split('labelled', 'doc_id', BIN_STRATUM)},
+    parted as (select Label as y, x, {SPLIT_OF} from ranked join quotas on s = stratum),
+    train as (select 0 as f, 1.0::double as w, y, x from parted where split = 'train'),
+    {_centroid_heads('train')},
+    tried as (select case split when 'val' then c else 10 + c end as g, y, list_dot_product(h, x) + b as z
+             from parted, heads where split in ('val', 'test')),
+    {_judged('tried')}
+    select acc, mcc, f1, auc, pr_auc, recall, precision from judged
+    where g = 10 + (select g from judged where g < 10 order by mcc desc, g limit 1)"""
+
+
 def _dense_head() -> str:
     """The prompted head, fold by fold, with list functions; erf as its power series."""
     erf = ("(1.1283791670955126::double * list_sum(list_transform(range(0, 80), lambda k: "
@@ -308,6 +374,8 @@ ORACLE = {
     select vec_id, round(p, 6) as probability, case when p >= 0.5 then 1 else 0 end as by_threshold,
            case when z > z0 then 1 else 0 end as by_argmax from scored""",
     "dense_head": _dense_head(),
+    "train_kfold_centroid": _train_kfold(),
+    "train_holdout_centroid": _train_holdout(),
     "clean_route": f"""with {CLEANED}
     select doc_id, text, lang, source, n_chars, clean_sequence, input_category, {ROUTED} as routed_category
     from cleaned where {ACCEPTED}""",

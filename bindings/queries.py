@@ -24,6 +24,7 @@ from strandline.plans.sizing import left_lookup, lookup_side, settle
 from strandline.sources.models import MODEL_SCHEMA, model_rows
 
 FOLDS = 5
+SHRINKAGE = (0.0, 0.25, 0.5)
 FOLD_IDS = [0, 2, 5, 6, 9]
 WIDTH = 64
 TOKEN_WIDTH = 8
@@ -421,19 +422,36 @@ def _trainable(spark, sf_dir):
 
 
 def train_kfold(spark, sf_dir):
+    return _kfold_run(spark, sf_dir).report
+
+
+def train_kfold_centroid(spark, sf_dir):
+    run = _kfold_run(spark, sf_dir, grid=SHRINKAGE, learner=training.centroids())
+    mean = run.summary.first().mean_best
+    return _bundle(run.report.withColumn("cv_mcc", F.lit(mean)), "fold", "candidate", "train_rows", "val_rows")
+
+
+def _kfold_run(spark, sf_dir, **options):
     rows = _trainable(spark, sf_dir)
-    run = training.train_kfold(
+    return training.train_kfold(
         rows.where(~F.col("lang").eqNullSafe("en")), "doc_id", F.col("embedding"), "category", "chain_index", 5,
-        "Label", plain=rows.where(F.col("lang").eqNullSafe("en")).drop("category"), k=FOLDS)
-    return run.report
+        "Label", plain=rows.where(F.col("lang").eqNullSafe("en")).drop("category"), k=FOLDS, **options)
 
 
 def train_holdout(spark, sf_dir):
+    return _holdout_run(spark, sf_dir).report
+
+
+def train_holdout_centroid(spark, sf_dir):
+    return _bundle(_holdout_run(spark, sf_dir, grid=SHRINKAGE, learner=training.centroids()).report)
+
+
+def _holdout_run(spark, sf_dir, **options):
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("Label"))
     rows = _table(spark, sf_dir, "documents").join(labels, "doc_id").withColumn(
         "counts", residue_counts(F.lower("text"), "abcdefghijklmnopqrstuvwxyz"))
     return training.train_holdout(
-        rows, "doc_id", F.col("counts"), "Label", _bin_stratum()).report
+        rows, "doc_id", F.col("counts"), "Label", _bin_stratum(), **options)
 
 
 QUERIES = {
@@ -480,4 +498,6 @@ QUERIES = {
     "paired_consistency": paired_consistency,
     "train_kfold": train_kfold,
     "train_holdout": train_holdout,
+    "train_kfold_centroid": train_kfold_centroid,
+    "train_holdout_centroid": train_holdout_centroid,
 }

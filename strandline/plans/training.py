@@ -2,18 +2,20 @@
 
 The network trainer of a deep model is out of scope; a logistic model on the feature vector
 and the category takes its place. Folds, weights, metric history, choice of the best
-checkpoint and the reports are the point here.
+checkpoint and the reports are the point here. Other learners of linear heads can be passed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.functions.losses import argmax_rule, softmax_positive
@@ -79,19 +81,63 @@ def fold_weights(df: DataFrame, group: str, fold: str, k: int, name: str) -> Dat
     return left_lookup(df, lookup_side(table), [group])
 
 
-def _fit_all(jobs: list[tuple], data_of, weight_of, how: Fit) -> dict[tuple, LogisticRegressionModel]:
-    def fit(job):
-        part, candidate, reg = job
-        learner = LogisticRegression(
-            maxIter=how.max_iter, tol=how.tol, regParam=reg, labelCol="label", featuresCol="features",
-            weightCol="weight")
-        rows = data_of(part).select(array_to_vector("features").alias("features"), "label",
+# A learner fits candidates: (part, strength) pairs and a function that gives a part's rows with
+# features (vector), label and weight. It returns each one's linear head and what to log of the fit.
+Learner = Callable[[list[tuple], Callable[[int], DataFrame]], dict[tuple, tuple[dict, dict]]]
+
+
+def logistic(how: Fit = Fit()) -> Learner:
+    """MLlib's logistic regression; strengths are those of its regularisation."""
+    def learn(jobs, rows_of):
+        def fit(job):
+            part, strength = job
+            model = LogisticRegression(
+                maxIter=how.max_iter, tol=how.tol, regParam=strength, labelCol="label",
+                featuresCol="features", weightCol="weight").fit(rows_of(part))
+            return job, (_parameters(model), {"iterations": model.summary.totalIterations,
+                                              "train_loss": list(model.summary.objectiveHistory)[-1]})
+
+        spark = rows_of(jobs[0][0]).sparkSession
+        with ThreadPool(how.parallel) as pool:
+            return dict(pool.map(inheritable_thread_target(spark)(fit), jobs))
+
+    return learn
+
+
+def centroids() -> Learner:
+    """Weighted nearest centroids in closed form; a strength moves both towards the mean of all.
+
+    One aggregate per part with a JVM buffer per class; all strengths follow from it. A class without rows
+    stands at the mean of all.
+    """
+    def learn(jobs, rows_of):
+        out = {}
+        for part in sorted({part for part, _ in jobs}):
+            found = {int(r.label): (np.array(r.mean), r.weight) for r in rows_of(part).where("weight > 0").groupBy(
+                "label").agg(vector_to_array(Summarizer.mean(F.col("features"), F.col("weight"))).alias("mean"),
+                             F.sum("weight").alias("weight")).collect()}
+            if not found:
+                raise ValueError("a training part has no rows")
+            centre = sum(m * w for m, w in found.values()) / sum(w for _, w in found.values())
+            means = [found.get(c, (centre, 0.0))[0] for c in (0, 1)]
+            for strength in (s for p, s in jobs if p == part):
+                m0, m1 = ((1 - strength) * m + strength * centre for m in means)
+                out[part, strength] = {"head.weight": np.stack([np.zeros_like(m0), m1 - m0]),
+                                       "head.bias": np.array([0.0, (m0 @ m0 - m1 @ m1) / 2])}, {}
+        return out
+
+    return learn
+
+
+def _fit_all(parts: range, grid: tuple, data_of, weight_of, learner: Learner) -> tuple[dict, dict]:
+    """Heads and logs of every (part, candidate)."""
+    def rows_of(part):
+        return data_of(part).select(array_to_vector("features").alias("features"), "label",
                                     weight_of(part).alias("weight"))
-        return (part, candidate), learner.fit(rows)
 
-    spark = data_of(jobs[0][0]).sparkSession
-    with ThreadPool(how.parallel) as pool:
-        return dict(pool.map(inheritable_thread_target(spark)(fit), jobs))
+    found = learner([(p, strength) for p in parts for strength in grid], rows_of)
+    named = {(p, c): found[p, strength] for p in parts for c, strength in enumerate(grid)}
+    return {j: head for j, (head, _) in named.items()}, {j: log for j, (_, log) in named.items()}
 
 
 def _scored(rows: DataFrame, heads: dict[tuple, dict], grid: tuple) -> DataFrame:
@@ -118,8 +164,8 @@ def _history(metrics: DataFrame, trained: DataFrame, fits: dict, run: str) -> Da
             F.lit(run).alias("run"), F.col("fold").cast("int").alias("fold"), F.col("candidate").alias("epoch"),
             F.explode(F.create_map(*[x for n in names for x in (F.lit(prefix + n), F.col(n))])).alias("tag", "value"))
 
-    went = [(run, int(f), int(c), tag, float(value)) for (f, c), model in fits.items() for tag, value in (
-        ("iterations", model.summary.totalIterations), ("train_loss", list(model.summary.objectiveHistory)[-1]))]
+    went = [(run, int(f), int(c), tag, float(value))
+            for (f, c), log in fits.items() for tag, value in log.items()]
     return tags(metrics, "").unionByName(tags(trained, "train_")).unionByName(
         metrics.sparkSession.createDataFrame(went, "run string, fold int, epoch int, tag string, value double"))
 
@@ -148,7 +194,7 @@ def _parameters(model: LogisticRegressionModel) -> dict[str, np.ndarray]:
 def train_kfold(
     df: DataFrame, key: str, features: Column, category: str, index: str, categories: int,
     label: str, plain: DataFrame | None = None, k: int = 5, grid: tuple = GRID, seed: int = 42,
-    run: str = "kfold", how: Fit = Fit(),
+    run: str = "kfold", learner: Learner = logistic(),
 ) -> Training:
     """Per fold: fit on the other folds (and ``plain``) with balancing weights, keep the best.
 
@@ -170,9 +216,8 @@ def train_kfold(
     ))), "sample_group", "fold", k, "weights")
 
     data = settle(data)
-    fits = _fit_all([(f, c, reg) for f in range(k) for c, reg in enumerate(grid)],
-                    lambda f: train_part(data, f), lambda f: F.col("weights")[f], how)
-    fitted = {job: _parameters(model) for job, model in fits.items()}
+    fitted, fits = _fit_all(range(k), grid, lambda f: train_part(data, f),
+                            lambda f: F.col("weights")[f], learner)
     scored = _scored(data.where(F.col("fold").isNotNull()), fitted, grid)
     own = data.withColumn("fold", F.explode(F.filter(
         F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.col("fold").isNull() | (f != F.col("fold")))))
@@ -200,7 +245,7 @@ def train_kfold(
 
 def train_holdout(
     df: DataFrame, key: str, features: Column, label: str, stratum: Column,
-    grid: tuple = GRID, seed: int = 42, run: str = "holdout", how: Fit = Fit(),
+    grid: tuple = GRID, seed: int = 42, run: str = "holdout", learner: Learner = logistic(),
     test: DataFrame | None = None,
 ) -> Training:
     """70/15/15 split, fit on train, choose by validation MCC, report on test in one row.
@@ -211,9 +256,8 @@ def train_holdout(
     target = F.col(label).cast("double").alias("label")
     data = compact(settle(
         stratified_split(df, stratum, key, seed=seed).select(vector, target, "split")))
-    fits = _fit_all([(0, c, reg) for c, reg in enumerate(grid)],
-                    lambda _: data.where("split = 'train'"), lambda _: F.lit(1.0), how)
-    fitted = {job: _parameters(model) for job, model in fits.items()}
+    fitted, fits = _fit_all(range(1), grid, lambda _: data.where("split = 'train'"),
+                            lambda _: F.lit(1.0), learner)
     metrics, trained = (settle(_metrics(_scored(
         data.where(F.col("split") == part).withColumn("fold", F.lit(0)), fitted, grid))) for part in ("val", "train"))
     history = _history(metrics, trained, fits, run)

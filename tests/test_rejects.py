@@ -106,7 +106,7 @@ def test_training_reports_its_fits(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "C6" if i % 2 else "C8", int(x[0] > 0), x.tolist()) for i, x in enumerate(rng.normal(size=(80, 3)))]
     df = spark.createDataFrame(rows, "id long, c string, y int, v array<double>").withColumn("i", (F.col("c") == "C6").cast("int"))
-    run = training.train_kfold(df, "id", F.col("v"), "c", "i", 2, "y", k=2, grid=(0.01,), how=training.Fit(max_iter=7))
+    run = training.train_kfold(df, "id", F.col("v"), "c", "i", 2, "y", k=2, grid=(0.01,), learner=training.logistic(training.Fit(max_iter=7)))
     tags = {r.tag for r in run.history.collect()}
     assert {"mcc", "train_mcc", "iterations", "train_loss"} <= tags
     assert all(r.value <= 7 for r in run.history.where("tag = 'iterations'").collect())
