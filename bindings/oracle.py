@@ -221,6 +221,26 @@ CENTROID_HEADS = f"""folded as (
     heads as (select fold, list(m1 - m0 order by pos) as w, sum(m0 * m0 - m1 * m1) / 2 as b from means group by fold)"""
 
 
+def _prompt_consistency() -> str:
+    index = STATIC_INDEX.format(c="category")
+    return f"""with {PROMPTED},
+    indexed as (select doc_id, lang, {index} as chain_index from prompted),
+    tokens as (select doc_id, n_chars, t, list(x order by c) as v from cells group by doc_id, n_chars, t),
+    {_stream('a', 0)}, {_stream('b', 0, '3')},
+    rows_of as (
+        select i.lang, case when i.chain_index <> 3 then 1.0::double else 0.0::double end as flag,
+            list_avg(list_transform(list_zip(a.v, b.v), lambda g: (g[1] - g[2]) * (g[1] - g[2]))) as mse,
+            greatest(z[1], z[2]) + ln(1 + exp(-abs(z[1] - z[2]))) - case when l.quality = 1 then z[2] else z[1] end as loss
+        from indexed i join labels l using (doc_id) join pooleda a using (doc_id) join pooledb b using (doc_id)
+        join logitsa using (doc_id)),
+    parts as (
+        select lang, avg(loss) as classification, case when sum(flag) > 0
+               then 3 * sum(mse * flag) / (sum(flag) + 1e-8::double) else 0.0::double end as consistency
+        from rows_of group by lang)
+    select lang, round(classification, 6) as classification, round(consistency, 6) as consistency,
+           round(classification + consistency, 6) as total from parts"""
+
+
 def _centroid_heads(train: str) -> str:
     """CTEs after a table with f, w, y, x: heads of every part f and shrinkage c."""
     grid = ", ".join(f"({c}, {v!r}::double)" for c, v in enumerate(SHRINKAGE))
@@ -287,8 +307,8 @@ def _train_holdout() -> str:
     where g = 10 + (select g from judged where g < 10 order by mcc desc, g limit 1)"""
 
 
-def _dense_head() -> str:
-    """The prompted head, fold by fold, with list functions; erf as its power series."""
+def _stream(f: str, fold: int, index: str = "indexed.chain_index") -> str:
+    """CTEs of one prompted stream with list functions; erf as its power series."""
     erf = ("(1.1283791670955126::double * list_sum(list_transform(range(0, 80), lambda k: "
            "power(-1.0::double, k) * exp((2 * k + 1) * ln(greatest(abs({x}), 1e-12::double)) - lgamma(k + 1.0::double)) "
            "/ (2 * k + 1))) * sign({x}))")
@@ -308,17 +328,15 @@ def _dense_head() -> str:
         return (f"list_transform(list_zip({v}, {_list(p[name + '.gain'])}, {_list(p[name + '.shift'])}), "
                 f"lambda g: (g[1] - {mean}) / sqrt({var} + 1e-5::double) * g[2] + g[3])")
 
-    ctes, picks = [], []
-    for f in range(FOLDS):
-        p = head_parameters(f)
-        rows = " union all ".join(
-            f"select {i} as chain_index, {_list(v)} as e" for i, v in enumerate(p["category"]))
-        ctes.append(f"""cats{f} as ({rows}),
+    p = head_parameters(fold)
+    rows = " union all ".join(
+        f"select {i} as chain_index, {_list(v)} as e" for i, v in enumerate(p["category"]))
+    return f"""cats{f} as ({rows}),
     pre0_{f} as (select chain_index, {dense(p, 'prefix', 'e')} as v from cats{f}),
     pre1_{f} as (select chain_index, {norm(p, 'prefix.norm', 'v')} as v from pre0_{f}),
     prefix{f} as (select chain_index, {gelu('v')} as v from pre1_{f}),
     full{f} as (
-        select doc_id, -1 as t, v from indexed join prefix{f} using (chain_index)
+        select doc_id, -1 as t, v from indexed join prefix{f} on prefix{f}.chain_index = {index}
         union all select doc_id, t, v from tokens where t <= n_chars % 8),
     down{f} as (select doc_id, t, v, {dense(p, 'down', 'v')} as h from full{f}),
     act{f} as (select doc_id, t, v, {gelu('h')} as h from down{f}),
@@ -333,8 +351,13 @@ def _dense_head() -> str:
     hid0_{f} as (select doc_id, {dense(p, 'hidden', 'v')} as v from pooled{f}),
     hid1_{f} as (select doc_id, {norm(p, 'hidden.norm', 'v')} as v from hid0_{f}),
     hid2_{f} as (select doc_id, {gelu('v')} as v from hid1_{f}),
-    logits{f} as (select doc_id, {dense(p, 'out', 'v')} as z from hid2_{f})""")
-        picks.append(f"select doc_id, 1 / (1 + exp(z[1] - z[2])) as prob from logits{f}")
+    logits{f} as (select doc_id, {dense(p, 'out', 'v')} as z from hid2_{f})"""
+
+
+def _dense_head() -> str:
+    """The prompted head, fold by fold."""
+    ctes = [_stream(str(f), f) for f in range(FOLDS)]
+    picks = [f"select doc_id, 1 / (1 + exp(z[1] - z[2])) as prob from logits{f}" for f in range(FOLDS)]
     index = STATIC_INDEX.format(c="category")
     return f"""with {PROMPTED},
     indexed as (select doc_id, lang, {index} as chain_index from prompted),
@@ -374,6 +397,7 @@ ORACLE = {
     select vec_id, round(p, 6) as probability, case when p >= 0.5 then 1 else 0 end as by_threshold,
            case when z > z0 then 1 else 0 end as by_argmax from scored""",
     "dense_head": _dense_head(),
+    "prompt_consistency": _prompt_consistency(),
     "train_kfold_centroid": _train_kfold(),
     "train_holdout_centroid": _train_holdout(),
     "clean_route": f"""with {CLEANED}

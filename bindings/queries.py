@@ -7,8 +7,6 @@ is the label, ``embeddings`` the features, ``events`` the metric history.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,6 +23,7 @@ from strandline.sources.models import MODEL_SCHEMA, model_rows
 
 FOLDS = 5
 SHRINKAGE = (0.0, 0.25, 0.5)
+NULL_INDEX = 3
 FOLD_IDS = [0, 2, 5, 6, 9]
 WIDTH = 64
 TOKEN_WIDTH = 8
@@ -214,11 +213,9 @@ def stratified_kfold(spark, sf_dir):
 
 
 def fold_parts(spark, sf_dir):
-    rows = settle(split.stratified_kfold(
-        _labelled(spark, sf_dir), stratum_key(F.col("lang"), F.col("Label")), "doc_id", FOLDS))
-    return reduce(DataFrame.unionByName, [
-        part(rows, f).select("doc_id", F.lit(f).alias("fold_number"), F.lit(name).alias("part"))
-        for f in range(FOLDS) for name, part in (("train", split.train_part), ("val", split.val_part))])
+    rows = split.stratified_kfold(
+        _labelled(spark, sf_dir), stratum_key(F.col("lang"), F.col("Label")), "doc_id", FOLDS)
+    return split.fold_parts(rows, FOLDS).select("doc_id", "fold_number", "part")
 
 
 def _order_stratum():
@@ -413,6 +410,22 @@ def paired_consistency(spark, sf_dir):
                                  for c in ("classification", "consistency", "total")])
 
 
+def prompt_consistency(spark, sf_dir):
+    """Loss of one prompted head and the distance of its pooled vectors with the real and the null prompt."""
+    rows = _prompted(spark, sf_dir).join(
+        _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    rows = rows.withColumn("null_index", F.lit(NULL_INDEX))
+    p = head_parameters(0)
+    streams = {name: heads.row_head(p, heads.prompted_pool, [F.col("tokens"), F.col("mask"), F.col(index)])
+               for name, index in (("real", "chain_index"), ("null", "null_index"))}
+    rows = rows.withColumns(streams | {"logits": heads.row_head(
+        p, heads.prompted_head, [F.col("tokens"), F.col("mask"), F.col("chain_index")])})
+    out = consistency.paired_consistency(
+        rows, F.col("real"), F.col("null"), F.col("chain_index") != NULL_INDEX,
+        losses.cross_entropy(F.col("logits")[0], F.col("logits")[1], F.col("y")), ["lang"])
+    return out.select("lang", *[F.round(c, 6).alias(c) for c in ("classification", "consistency", "total")])
+
+
 # ---- training
 
 def _trainable(spark, sf_dir):
@@ -496,6 +509,7 @@ QUERIES = {
     "layer_norm": layer_norm,
     "noise_augment": noise_augment,
     "paired_consistency": paired_consistency,
+    "prompt_consistency": prompt_consistency,
     "train_kfold": train_kfold,
     "train_holdout": train_holdout,
     "train_kfold_centroid": train_kfold_centroid,

@@ -67,13 +67,18 @@ def pool_tokens(p: dict, tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def prompted_head(p: dict, tokens: np.ndarray, mask: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Category vector as prefix token, residual adapter, attention pooling, classifier."""
+    """Two logits from the pooled vector of tokens and prompt."""
+    pooled = prompted_pool(p, tokens, mask, index)
+    return dense(p, "out", gelu(norm(p, "hidden.norm", dense(p, "hidden", pooled))))
+
+
+def prompted_pool(p: dict, tokens: np.ndarray, mask: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Category vector as prefix token, residual adapter, attention pooling."""
     prefix = gelu(norm(p, "prefix.norm", dense(p, "prefix", p["category"][index])))
     full = np.concatenate([prefix[:, None, :], tokens], axis=1)
     full_mask = np.concatenate([np.ones((len(mask), 1)), mask], axis=1)
     adapted = norm(p, "adapter.norm", dense(p, "up", gelu(dense(p, "down", full))) + full)
-    pooled = pool_tokens(p, adapted, full_mask)
-    return dense(p, "out", gelu(norm(p, "hidden.norm", dense(p, "hidden", pooled))))
+    return pool_tokens(p, adapted, full_mask)
 
 
 def _padded(column: pa.Array) -> np.ndarray:

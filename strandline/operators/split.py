@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.hashing import digest
-from strandline.plans.running import dense_position, running
-from strandline.plans.sizing import BROADCAST_BYTES, fits_broadcast, left_lookup, settle
+from strandline.plans.running import HOT_ROWS, dense_position, running
+from strandline.plans.sizing import BROADCAST_BYTES, fits_broadcast, hinted, left_lookup, settle
 
 PREFIX_DIGITS = 3  # 4096 buckets per stratum
 
@@ -44,7 +44,7 @@ def stratum_sizes(counts: DataFrame) -> DataFrame:
 
 def _cut_values(
     keyed: DataFrame, counts: DataFrame, quotas: DataFrame,
-    small: Callable[[DataFrame], DataFrame],
+    small: Callable[[DataFrame], DataFrame], hot_rows: int,
 ) -> DataFrame:
     """Per stratum the array of the (hash, key) pairs that end each part but the last."""
     upto = Window.partitionBy(_STRATUM).orderBy(_PREFIX).rowsBetween(
@@ -57,10 +57,11 @@ def _cut_values(
             & (F.col("__rank") < F.col("n"))).select(
         _STRATUM, _PREFIX, "__part", (F.col("__rank") - F.col("__start")).alias("__local"))
 
-    within = Window.partitionBy(_STRATUM, _PREFIX).orderBy(_HASH, _KEY)
-    ranked = left_lookup(
-        keyed.select(_STRATUM, _PREFIX, _HASH, _KEY), small(cuts), [_STRATUM, _PREFIX], "left_semi"
-    ).withColumn("__local", F.row_number().over(within).cast("long"))
+    near = left_lookup(
+        keyed.select(_STRATUM, _PREFIX, _HASH, _KEY), small(cuts), [_STRATUM, _PREFIX], "left_semi")
+    # A bucket may be large too: its rows are ranked in ranges then.
+    ranked = dense_position(near, [_STRATUM, _PREFIX], [F.col(_HASH), F.col(_KEY)], "__local", hot_rows).withColumn(
+        "__local", F.col("__local") + 1)
     found = left_lookup(
         ranked, small(cuts), [_STRATUM, _PREFIX, "__local"], "inner"
     ).select(_STRATUM, "__part", F.struct(
@@ -79,18 +80,19 @@ def _cut_values(
 
 def assign_parts(
     df: DataFrame, stratum: Column, key: str, counts: DataFrame, quotas: DataFrame,
-    n_parts: int, name: str, seed: int = 42, digits: int = PREFIX_DIGITS,
+    n_parts: int, name: str, seed: int = 42, digits: int = PREFIX_DIGITS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the part number of each row; ``quotas`` holds ``stratum``, ``n`` and ``ends``.
 
     ``ends[i]`` is the number of rows of the stratum in the parts 0 to i, for all parts
-    but the last. ``key`` has to be unique.
+    but the last. ``key`` has to be unique (``repeated_keys`` lists what is not).
     """
     keyed = _keyed(df, stratum, key, seed, digits)
-    # Every table joined below has at most one row per stratum and part.
+    # Every table joined inside has at most one row per stratum and part, without keys. The cut
+    # values hold key texts of any length: they are computed once and measured.
     fits = fits_broadcast(quotas, BROADCAST_BYTES // (4 * n_parts))
     small = F.broadcast if fits else (lambda table: table)
-    cuts = small(_cut_values(keyed, counts, quotas, small))
+    cuts = hinted(settle(_cut_values(keyed, counts, quotas, small, hot_rows)))
     me = F.struct(F.col(_HASH).alias("h"), F.col(_KEY).alias("k"))
     part = F.lit(0)
     for i in range(n_parts - 1):
@@ -99,6 +101,17 @@ def assign_parts(
         _STRATUM, _HASH, _KEY, _PREFIX, "__cuts")
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys of more than one row, with the number of their rows; exact quotas need it to be empty."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
+def fold_parts(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
+    """Every row once per fold number, with its ``part`` there: val in its own fold, else train."""
+    return df.withColumn("fold_number", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
+        "part", F.when(F.col(fold) == F.col("fold_number"), "val").otherwise("train"))
+
+
 def train_part(df: DataFrame, fold_number: int, fold: str = "fold") -> DataFrame:
     """Training rows of a fold: all other folds, and rows without a fold."""
     return df.where(F.col(fold).isNull() | (F.col(fold) != fold_number))
@@ -127,7 +140,7 @@ def fold_quotas(sizes: DataFrame, k: int) -> DataFrame:
 
 def stratified_kfold(
     df: DataFrame, stratum: Column, key: str, k: int = 5, name: str = "fold", seed: int = 42,
-    digits: int = PREFIX_DIGITS,
+    digits: int = PREFIX_DIGITS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the fold number; fold sizes of a stratum differ by one row at most."""
     counts = prefix_counts(df, stratum, key, seed, digits)
@@ -135,7 +148,7 @@ def stratified_kfold(
     biggest = quotas.agg(F.max("n")).first()[0]
     if biggest is not None and biggest < k:
         raise ValueError(f"no stratum has {k} rows, so {k} folds cannot be made")
-    return assign_parts(df, stratum, key, counts, quotas, k, name, seed, digits)
+    return assign_parts(df, stratum, key, counts, quotas, k, name, seed, digits, hot_rows)
 
 
 def _by_name() -> Column:
@@ -187,12 +200,12 @@ def split_quotas(sizes: DataFrame, held_out: float = 0.3, test_of_held: float =
 
 def stratified_split(
     df: DataFrame, stratum: Column, key: str, held_out: float = 0.3, test_of_held: float = 0.5,
-    name: str = "split", seed: int = 42, digits: int = PREFIX_DIGITS,
+    name: str = "split", seed: int = 42, digits: int = PREFIX_DIGITS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``train``, ``val`` or ``test``: by default 70/15/15 with exact quotas per stratum."""
     counts = prefix_counts(df, stratum, key, seed, digits)
     quotas = settle(split_quotas(stratum_sizes(counts), held_out, test_of_held).select(
         "stratum", "n", F.array(F.col("train"), F.col("train") + F.col("val")).alias("ends")))
-    parts = assign_parts(df, stratum, key, counts, quotas, 3, name, seed, digits)
+    parts = assign_parts(df, stratum, key, counts, quotas, 3, name, seed, digits, hot_rows)
     return parts.withColumn(name, F.element_at(
         F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col(name) + 1))

@@ -19,9 +19,9 @@ def hot_groups(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
     There are at most (all rows / ``hot_rows``) of them. The counts are combined map-side.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(
-        F.col("__rows") > hot_rows)
-    return None if sizes.isEmpty() else settle(sizes)
+    sizes = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(
+        F.col("__rows") > hot_rows))
+    return None if sizes.isEmpty() else sizes
 
 
 def _windowed(df, partition, order, measures, inclusive):

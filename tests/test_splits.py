@@ -256,3 +256,19 @@ def test_quotas_of_random_strata(spark, seed):
     for r in ends.collect():
         bounds = [0, *r.ends, r.n]
         assert [b - a for a, b in zip(bounds, bounds[1:])] == [expected[r.stratum][f] for f in range(5)]
+
+
+def test_large_buckets_and_long_keys(spark, monkeypatch):
+    rows = spark.range(3000).select(F.concat(F.lit("k" * 5000), F.col("id").cast("string")).alias("id"),
+                                    (F.col("id") % 3 == 0).cast("string").alias("s")).repartition(5)
+    plain = {r.id: r.split for r in split.stratified_split(rows, F.col("s"), "id").collect()}
+    ranged = {r.id: r.split for r in split.stratified_split(rows, F.col("s"), "id", digits=1, hot_rows=20).collect()}
+    assert plain == ranged
+    monkeypatch.setattr("strandline.plans.sizing.hinted.__defaults__", (1000,))
+    wide = split.stratified_split(rows, F.col("s"), "id")
+    assert "rightHint=(strategy=broadcast)" not in wide._jdf.queryExecution().analyzed().toString()
+
+
+def test_repeated_keys(spark):
+    rows = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    assert [tuple(r) for r in split.repeated_keys(rows, "id").collect()] == [(1, 2)]
