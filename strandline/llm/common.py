@@ -48,13 +48,21 @@ def replace_file(uri: str, write) -> None:
     store.move(draft, path)
 
 
-def worker_state() -> dict:
-    """Objects kept for all tasks of one Python worker (functions are sent by value)."""
+def worker_state(key: tuple, make):
+    """An object kept for all tasks of one Python worker (functions are sent by value).
+
+    A worker keeps one object at a time: that of another key goes when a new one is made, so that the
+    stages of a pipeline don't add up in memory.
+    """
     name = "_strandline_worker_state"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
         sys.modules[name].kept = {}
-    return sys.modules[name].kept
+    kept = sys.modules[name].kept
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def schema_text(df: DataFrame) -> str:

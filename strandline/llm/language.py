@@ -13,6 +13,7 @@ from strandline.llm.tokens import slices
 
 UNKNOWN = "und"
 BINS = 1 << 16
+SLICE_CHARS = 1 << 18
 ADDED = "lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
 
 # First and last code point of the blocks of each script.
@@ -45,15 +46,16 @@ OTHER = len(SCRIPTS)
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Of every code point: whether it is a letter, and the number of its script."""
-    kept = worker_state()
-    if "letters" not in kept:
-        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        script = np.full(0x110000, OTHER, np.uint8)
-        for number, blocks in enumerate(SCRIPTS.values()):
-            for first, last in blocks:
-                script[first:last + 1] = number
-        kept["letters"] = letter, script
-    return kept["letters"]
+    return worker_state(("letters",), _make_tables)
+
+
+def _make_tables() -> tuple[np.ndarray, np.ndarray]:
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    script = np.full(0x110000, OTHER, np.uint8)
+    for number, blocks in enumerate(SCRIPTS.values()):
+        for first, last in blocks:
+            script[first:last + 1] = number
+    return letter, script
 
 
 @dataclass
@@ -135,7 +137,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     def count(batches):
         for batch in batches:
             langs, texts = (c.to_pylist() for c in batch.columns)
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, SLICE_CHARS):
                 for name in dict.fromkeys(langs[start:stop]):
                     words = words_of([t for t, x in zip(texts[start:stop], langs[start:stop]) if x == name])
                     bins = np.bincount(words.bins, minlength=BINS)
@@ -235,7 +237,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     def run(batches):
         for batch in batches:
             texts = batch.column(number).to_pylist()
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, SLICE_CHARS):
                 found = list(label(texts[start:stop], shared.value, penalty))
                 langs, scores, spans = zip(*found)
                 part = batch.slice(start, stop - start)

@@ -278,10 +278,7 @@ class PieceEncoder(Memo):
 
 
 def piece_encoder(path: str) -> PieceEncoder:
-    kept = worker_state()
-    if ("pieces", path) not in kept:
-        kept["pieces", path] = PieceEncoder(path)
-    return kept["pieces", path]
+    return worker_state(("pieces", path), lambda: PieceEncoder(path))
 
 
 def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:

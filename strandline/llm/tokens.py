@@ -172,10 +172,7 @@ class ChunkEncoder(Memo):
 
 def encoder(path: str) -> ChunkEncoder:
     """The encoder of this worker for a tokenizer file."""
-    kept = worker_state()
-    if ("tokens", path) not in kept:
-        kept["tokens", path] = ChunkEncoder(path)
-    return kept["tokens", path]
+    return worker_state(("tokens", path), lambda: ChunkEncoder(path))
 
 
 def slices(texts: list[str | None], chars: int = TEXT_CHARS):
