@@ -21,6 +21,7 @@ from strandline.plans.sizing import lookup_side, settle
 SLACK = 1e-5
 FINEST = 1e-6
 COARSE = 0.1
+FEW = 8     # so few members are children of their own: a wide node of them would meet almost every other
 
 
 def net(points: np.ndarray, radius: float) -> np.ndarray:
@@ -74,7 +75,8 @@ class CoverTree:
                 else:
                     near = cosines[at, free] >= 1 - radius ** 2 / 8
                     near |= free == at
-                parts.append((free[near], at))
+                inside = free[near]
+                parts += [(inside, at)] if len(inside) > FEW else [(inside[i:i + 1], int(inside[i])) for i in range(len(inside))]
                 free = free[~near]
                 at = int(free[0]) if len(free) else -1
             waiting += [(part, at, radius / 2, node) for part, at in reversed(parts)]
@@ -123,25 +125,25 @@ class Links:
                 self._inside(x)
             return
         left, right = a.points[a.centers[xs]].astype(np.float32), b.points[b.centers[ys]].astype(np.float32)
+        # What the largest radii leave out is left out at once; few pairs are looked at closely.
+        room = self.reach + a.radii[xs].max() + b.radii[ys].max()
+        floor = -2.0 if room >= 2 else 1 - room ** 2 / 2 - SLACK
         for at in range(0, len(xs), 1024):
-            rows = xs[at:at + 1024]
             cosines = left[at:at + 1024] @ right.T
-            both = a.radii[rows][:, None] + b.radii[ys][None, :]
-            farthest = np.sqrt(np.maximum(0, 2 - 2 * (cosines - SLACK))) + both
-            nearest = np.sqrt(np.maximum(0, 2 - 2 * (cosines + SLACK))) - both
-            every = farthest <= self.reach
-            some = (nearest <= self.reach) & ~every
+            i, j = np.nonzero(cosines >= np.float32(floor))
+            close = cosines[i, j].astype(np.float64)
+            p, q = xs[at + i], ys[j]
+            both = a.radii[p] + b.radii[q]
+            every = np.sqrt(np.maximum(0, 2 - 2 * (close - SLACK))) + both <= self.reach
+            some = (np.sqrt(np.maximum(0, 2 - 2 * (close + SLACK))) - both <= self.reach) & ~every
             if inner:
-                upper = rows[:, None] < ys[None, :]
-                every &= upper
-                some &= upper
-            i, j = np.nonzero(some)
-            single = (both[i, j] == 0) & (self._size(a, rows[i]) == 1) & (self._size(b, ys[j]) == 1)
-            p, q = a.points[a.centers[rows[i[single]]]], b.points[b.centers[ys[j[single]]]]
-            sure = np.einsum("ij,ij->i", p, q) >= self.least
-            every[i[single][sure], j[single][sure]] = True
-            self._whole(rows, ys, every)
-            yield from zip(rows[i[~single]].tolist(), ys[j[~single]].tolist())
+                every &= p < q
+                some &= p < q
+            single = some & (both == 0) & (self._size(a, p) == 1) & (self._size(b, q) == 1)
+            u, v = a.points[a.centers[p[single]]], b.points[b.centers[q[single]]]
+            every[single] = np.einsum("ij,ij->i", u, v) >= self.least
+            self._whole(p[every], q[every])
+            yield from zip(p[some & ~single].tolist(), q[some & ~single].tolist())
         if inner:
             yield from ((c, c) for c in xs.tolist() if self._size(a, np.array([c]))[0] > 1)
 
@@ -163,33 +165,32 @@ class Links:
         for i in range(first + 1, last):
             self.unite(first, i)
 
-    def _whole(self, xs: np.ndarray, ys: np.ndarray, every: np.ndarray) -> None:
-        """Count and connect node pairs of which all members link."""
-        rows, columns = np.flatnonzero(every.any(1)), np.flatnonzero(every.any(0))
-        if not len(rows):
+    def _whole(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        """Count and connect pairs of nodes of which all members link."""
+        if not len(xs):
             return
-        part = every[np.ix_(rows, columns)]
-        xs, ys = xs[rows], ys[columns]
-        for tree, counts, nodes, weights in ((self.a, self.count_a, xs, part @ self._weight(self.b, ys)),
-                                             (self.b, self.count_b, ys, self._weight(self.a, xs) @ part)):
+        for tree, base, counts, nodes, weights in (
+                (self.a, 0, self.count_a, xs, self._weight(self.b, ys)),
+                (self.b, self.base, self.count_b, ys, self._weight(self.a, xs))):
             np.add.at(counts, tree.spans[nodes, 0], weights)
             np.add.at(counts, tree.spans[nodes, 1], -weights)
-        for tree, base, nodes in ((self.a, 0, xs), (self.b, self.base, ys)):
-            for first, last in tree.spans[nodes].tolist():
+            for first, last in tree.spans[np.unique(nodes)].tolist():
                 for i in range(first + 1, last):
                     self.unite(base + first, base + i)
-        starts_a, starts_b = self.a.spans[xs, 0], self.base + self.b.spans[ys, 0]
-        la = np.array([self.root(i) for i in starts_a])
-        lb = np.array([self.root(i) for i in starts_b])
-        most = len(self.parent)
+        ends = np.concatenate([self.a.spans[xs, 0], self.base + self.b.spans[ys, 0]])
+        places, at = np.unique(ends, return_inverse=True)
+        u, v = at[:len(xs)], at[len(xs):]
+        label = np.array([self.root(i) for i in places.tolist()])
         while True:
-            na = np.minimum(la, np.where(part, lb[None, :], most).min(1))
-            nb = np.minimum(lb, np.where(part, na[:, None], most).min(0))
-            if (na == la).all() and (nb == lb).all():
+            least = np.minimum(label[u], label[v])
+            new = label.copy()
+            np.minimum.at(new, u, least)
+            np.minimum.at(new, v, least)
+            if (new == label).all():
                 break
-            la, lb = na, nb
-        for i, label in zip([*starts_a, *starts_b], [*la, *lb]):
-            self.unite(int(i), int(label))
+            label = new
+        for i, j in zip(places.tolist(), label.tolist()):
+            self.unite(i, j)
 
     def rows(self) -> pd.DataFrame:
         """Id, links counted and the id connected with, of rows that have links."""
