@@ -4,7 +4,7 @@ _LEVEL = """
 {name}_k as (
     select coalesce(1 / least(greatest(case when sum(n * above * (1 - above) * (n - 1)) > 0
         then sum((bad - n * above) * (bad - n * above) - n * above * (1 - above))
-             / sum(n * above * (1 - above) * (n - 1)) else 0 end, 1 / 201.0::double), 1 / 3.0::double) - 1, 2.0) k
+             / sum(n * above * (1 - above) * (n - 1)) else 1 / 3.0::double end, 1 / 201.0::double), 1 / 3.0::double) - 1, 2.0) k
     from {name}_above),
 {name}_mean as (select a.*, k, (bad + k * above) / (n + k) mean from {name}_above a, {name}_k)"""
 

@@ -60,8 +60,8 @@ def _strength(children: DataFrame, mean: str, least: float, most: float) -> Data
     even = F.col("n") * F.col(mean) * (1 - F.col(mean))
     spread = F.sum((F.col("bad") - F.col("n") * F.col(mean)) ** 2 - even)
     scale = F.sum(even * (F.col("n") - 1))
-    rho = F.when(scale > 0, spread / scale).otherwise(0.0)
     low, high = 1 / (1 + most), 1 / (1 + least)
+    rho = F.when(scale > 0, spread / scale).otherwise(high)
     return children.agg((1 / F.least(F.greatest(rho, F.lit(low)), F.lit(high)) - 1).alias("k"))
 
 
@@ -72,8 +72,8 @@ def host_reputation(
 
     ``hosts`` holds one row per host: ``host``, labelled pages ``n``, bad ones ``bad``. Each
     level's prior is a beta distribution around the posterior mean of the level above it; its
-    strength comes from the data by moments and stays between ``least`` and ``most`` pages.
-    Without any label the rate of everything is 1/2. Returns ``host``, ``mean``, ``low``, ``high``,
+    strength comes from the data by moments and stays between ``least`` and ``most`` pages; it is ``least``
+    where no child has two labelled pages. Without any label the rate of everything is 1/2. Returns ``host``, ``mean``, ``low``, ``high``,
     where the bounds are ``z`` standard deviations of the posterior beta away from its mean.
     """
     hosts = settle(hosts.withColumns({

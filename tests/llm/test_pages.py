@@ -65,10 +65,10 @@ def test_url_rules(spark, shared):
     got = {r.page_id: tuple(r)[1:] for r in url_reputation.judge_urls(pages, none, RULES).collect()}
     assert got == {
         1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("example.net", "/EN/", "net/", "block"),
-        3: ("notexample.com", "/de/", None, "block"), 4: ("example.com", "/de/", "example.com/de/", "block"),
-        5: ("a.net", "", None, "block"), 6: ("", "", None, "block"), 7: ("", "", None, "block"),
-        8: ("b.org", "/fr/a://c", "org/fr/", "allow"), 9: ("", "", None, "block"), 10: ("É.net", "/", "net/", "block"),
-        11: ("h", "", None, "block")} or {v[3] for k, v in got.items() if k in (3, 5, 6, 7, 9, 11)} == {"allow"}
+        3: ("notexample.com", "/de/", None, "allow"), 4: ("example.com", "/de/", "example.com/de/", "block"),
+        5: ("a.net", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"),
+        8: ("b.org", "/fr/a://c", "org/fr/", "allow"), 9: ("", "", None, "allow"), 10: ("É.net", "/", "net/", "block"),
+        11: ("h", "", None, "allow")}
     assert url_reputation.judge_urls(pages.limit(0), none, RULES).collect() == []
 
 
