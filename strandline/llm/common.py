@@ -65,6 +65,27 @@ def worker_state(key: tuple, make):
     return kept[key]
 
 
+def give_back() -> None:
+    """Return memory a task no longer uses to the system, for the JVM and workers beside this one."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(batches):
+    """The output of a task's generator, with unused memory given back when it ends."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def schema_text(df: DataFrame) -> str:
     """The columns of ``df`` as a schema string."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import schema_text
+from strandline.llm.common import schema_text, tidy
 
 # The base patterns and the least length of what they find (group 2 for assign).
 # A run of access or hex characters always ends where it must, so its length can be part of the pattern.
@@ -187,7 +187,7 @@ def scan(docs: DataFrame, text: str = "text", words: list[str] | None = None,
                 [*batch.columns, *(pa.array(c, pa.int64()) for c in columns[:3]),
                  *(pa.array(c, pa.string()) for c in columns[3:])], [*batch.schema.names, *added])
 
-    return kept.mapInArrow(run, f"{schema_text(kept)}, n_assign long, n_access long, n_hex long, "
+    return kept.mapInArrow(lambda batches: tidy(run(batches)), f"{schema_text(kept)}, n_assign long, n_access long, n_hex long, "
                            "base_sha256 string, spans string")
 
 

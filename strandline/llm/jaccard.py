@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.llm.common import rows_of
+from strandline.llm.common import rows_of, tidy
 from strandline.llm.components import components
 from strandline.llm.tokens import slices
 from strandline.plans.sizing import left_lookup, lookup_side, settle
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, bounds: Bounds,
                     pa.array(lead, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.int64()))],
                     ["doc_id", "n", "print", "lead", "hot"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidy(run(batches)), SIGNATURE)
 
 
 def full_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -152,7 +152,7 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     pa.array([s.tobytes() for s in shingle_sets(texts[start:stop], words)], pa.binary())],
                     ["id", "items"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "id long, items binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidy(run(batches)), "id long, items binary")
 
 
 def frequent_shingles(docs: DataFrame, text: str, words: int, sample: int, least: int, most: int) -> np.ndarray:

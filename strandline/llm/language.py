@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.llm.common import schema_text, worker_state
+from strandline.llm.common import schema_text, tidy, worker_state
 from strandline.llm.tokens import slices
 
 UNKNOWN = "und"
@@ -148,7 +148,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
                         [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(all_bins[found])],
                         ["lang", "bin", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(
+    counts = sample.mapInArrow(lambda batches: tidy(count(batches)), "lang string, bin long, n long").groupBy("lang", "bin").agg(
         F.sum("n").alias("n")).toPandas()
     langs = sorted(shares)
     table = np.zeros((BINS + OTHER + 1, len(langs)))
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                      pa.array([[{"lang": a, "start": b, "end": c} for a, b, c in s] for s in spans], span)],
                     [*part.schema.names, *added])
 
-    return kept.mapInArrow(run, f"{schema_text(kept)}, {ADDED}")
+    return kept.mapInArrow(lambda batches: tidy(run(batches)), f"{schema_text(kept)}, {ADDED}")
 
 
 def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:

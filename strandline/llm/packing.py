@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strandline.llm.common import tidy
 from strandline.llm.tokens import token_arrays
 from strandline.plans.sizing import left_lookup, lookup_side, settle
 
@@ -41,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int, key: str, text: st
             columns = list(zip(*found)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(lambda batches: tidy(cut(batches)), PIECE)
 
 
 class _Stock:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import open_store, replace_file, shared_folder
+from strandline.llm.common import open_store, replace_file, shared_folder, tidy
 from strandline.llm.tokens import token_arrays
 
 MAGIC = b"PFORIDS1"
@@ -170,7 +170,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, parts: int, key: str
             [pa.array([part], pa.int32()), pa.array([target]), pa.array(counts, pa.int64())],
             ["part", "file", "ids"])
 
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}-manifest")
+    ordered.mapInArrow(lambda batches: tidy(write(batches)), MANIFEST).write.parquet(f"{folder}-manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}-manifest")
 
 

@@ -14,13 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import worker_state
+from strandline.llm.common import tidy, worker_state
 from strandline.llm.tokens import Memo, slices
 
 BLANK = "▁"
 CUT = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 NEVER = np.iinfo(np.int64).max
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 def _own_merges(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
@@ -303,4 +303,4 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
                     ["doc_id", "n_ids", "ids_crc32", "restored"])
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        run, "doc_id long, n_ids long, ids_crc32 long, restored boolean")
+        lambda batches: tidy(run(batches)), "doc_id long, n_ids long, ids_crc32 long, restored boolean")

@@ -13,7 +13,7 @@ from strandline.llm.common import worker_state
 CUT = re.compile(r" (?<=\S )")
 STRETCH = re.compile(r"([^\W\d_]+)([.,;:!?]*\n?)([^\W\d_]*)")
 FIRST = "\0"
-MEMO = 1_200_000
+MEMO = 700_000
 JOINED = 200
 TEXT_CHARS = 1 << 20
 
