@@ -83,7 +83,10 @@ class PieceEncoder(Memo):
         self.width = np.array([len(self.names.get(i, "")) for i in range(size)])
         self.longest = max(map(len, self.names.values()))
         self.inner = {name[i:i + 2] for name in self.names.values() for i in range(len(name) - 1)}
-        self.searched = sorted(self.id_of)
+        self.searched = np.array(list(self.names))
+        self.spelled = np.full((len(self.names), self.longest), -1, np.int64)
+        for row, name in enumerate(self.names.values()):
+            self.spelled[row, :len(name)] = [ord(c) for c in name]
         super().__init__()
 
     def _symbol(self, text: str) -> int | None:
@@ -118,13 +121,13 @@ class PieceEncoder(Memo):
 
     def suffixes(self, codes: np.ndarray) -> np.ndarray:
         """Places of a text in the order of the suffixes there, told apart by as many characters as pieces have."""
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes)
         rank, width = codes.astype(np.int64), 1
         while width < self.longest:
             after = np.zeros_like(rank)
             after[:-width] = rank[width:] + 1
             key = rank * (rank.max() + 2) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = np.empty_like(rank)
             rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
             width *= 2
@@ -135,21 +138,20 @@ class PieceEncoder(Memo):
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         order = self.suffixes(codes)
         padded = np.concatenate([codes, np.full(self.longest, -1)])
-        present = set(text)
-        names = [n for n in self.searched if present.issuperset(n)]
-        if not names:
+        present = np.zeros(0x110001, bool)
+        present[codes] = present[-1] = True
+        rows = np.flatnonzero(present[self.spelled].all(1))
+        if not len(rows):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes = np.array([len(n) for n in names])
-        wanted = np.full((len(names), self.longest), -1, np.int64)
-        for i, n in enumerate(names):
-            wanted[i, :len(n)] = [ord(c) for c in n]
+        wanted, ids = self.spelled[rows], self.searched[rows]
+        sizes, count = self.width[ids], len(rows)
 
         def search(behind: bool) -> np.ndarray:
-            low, high = np.zeros(len(names), np.int64), np.full(len(names), len(order), np.int64)
+            low, high = np.zeros(count, np.int64), np.full(count, len(order), np.int64)
             while (open_ := low < high).any():
                 middle = (low + high) // 2
                 at = order[np.minimum(middle, len(order) - 1)]
-                sign, undecided = np.zeros(len(names), np.int8), open_.copy()
+                sign, undecided = np.zeros(count, np.int8), open_.copy()
                 for k in range(self.longest):
                     undecided &= k < sizes
                     rows = np.flatnonzero(undecided)
@@ -167,7 +169,6 @@ class PieceEncoder(Memo):
         counts = last - first
         ends = np.cumsum(counts)
         take = np.repeat(first - ends + counts, counts) + np.arange(ends[-1])
-        ids = np.array([self.id_of[n] for n in names])
         return order[take], np.repeat(ids, counts)
 
     # ---- words
@@ -221,11 +222,14 @@ class PieceEncoder(Memo):
         order = np.argsort(owner, kind="stable")
         owner, symbol = owner[order], symbol[order]
         cuts = np.searchsorted(owner, np.arange(len(begins) + 1))
-        return [self._ids(symbol[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-
-    def _ids(self, symbols: np.ndarray) -> np.ndarray:
-        if (symbols < self.size).all():
-            return symbols.astype(np.uint32)
+        ids = symbol.astype(np.uint32)
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for word in np.unique(owner[symbol >= self.size]).tolist():
+            out[word] = self._with_bytes(symbol[cuts[word]:cuts[word + 1]])
+        return out
+
+    def _with_bytes(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids where characters outside the vocabulary are written as bytes."""
         out: list[int] = []
         for s in symbols.tolist():
             out += [s] if s < self.size else self.bytes[list(chr(s - self.size).encode("utf-8", "surrogatepass"))].tolist()
