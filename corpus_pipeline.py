@@ -12,6 +12,12 @@ from strandline.plans.sizing import lookup_side
 TOKENIZER = "byte_bpe_50k.json"
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SEQUENCE_IDS = 2048
+BATCH_TEXTS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Fewer texts in an Arrow batch than Spark's 10,000, of which JVM and Python each hold copies."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_TEXTS)
 
 
 def _aside(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -29,6 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The model learns from the documents' own languages. Where none is known, no text with letters is dropped.
     """
+    _small_batches(spark)
     added = ["lang_pred", "score", "spans"]
     model = language.fit(language.training_rows(docs))
     found = language.predict(_aside(docs, added), model)
@@ -42,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without id and documents without words are kept.
     """
+    _small_batches(spark)
     groups = jaccard.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(lookup_side(others), "doc_id", "left_anti").select(docs.columns)
@@ -53,6 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of every secret; other texts stay as they are. ``n_chars`` follows the text."""
+    _small_batches(spark)
     added = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     masked = credentials.redact(credentials.scan(_aside(docs, added)))
     if "n_chars" in docs.columns:
@@ -63,6 +72,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' ids into training sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), SEQUENCE_IDS)
 
 
