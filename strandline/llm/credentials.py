@@ -23,8 +23,10 @@ HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
 KINDS = ["assign", "access", "hex", "guess"]
 
-# Names beside those of assign that a credential's value may follow.
-CONTEXT = r"""(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|auth|bearer|access_?key|private_?key)["']?(?:\x20*[:=]\x20*|\x20)["']?([A-Za-z0-9+/_.=!@#$%^&*~-]+)"""
+# Names that a credential's value may follow, those of assign among them. The value's characters include symbols.
+# A match is the name alone, with what lies before the value as group 1, so that a name which is a value itself counts too.
+VALUE = r"[A-Za-z0-9+/_.=!@#$%^&*~-]"
+CONTEXT = rf"""(?:(?:password|passwd|secret|token|api_?key)(?=(["']?\x20*[:=]\x20*["']?){VALUE})|(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|auth|bearer|access_?key|private_?key)(?=(["']?(?:\x20*[:=]\x20*|\x20)["']?){VALUE}))"""
 
 # Frequent parts of passwords, the most frequent first. A word's place is its cost.
 WORDS = """
@@ -139,20 +141,30 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str
     return cost[size], parts[::-1]
 
 
+def _values(text: str):
+    """Places of the values behind names; a value inside another has the same end."""
+    end = 0
+    for m in re.finditer(CONTEXT, text, re.IGNORECASE | re.ASCII):
+        start = m.end(m.lastindex)
+        if start >= end:
+            end = re.compile(f"{VALUE}+").match(text, start).end()
+        yield start, end
+
+
 def scan_text(text: str, words: dict[str, int], strong: float = STRONG) -> list[tuple[int, str, int]]:
     """Spans (start, kind, end) in code points, by start and then by the order of the kinds."""
-    spans, values = [], []
+    spans, found = [], 0
     if "=" in text or ":" in text:
         for m in re.finditer(ASSIGN, text, re.IGNORECASE | re.ASCII):
             if m.end(2) - m.start(2) >= LEAST_VALUE:
                 spans.append((m.start(), "assign", m.end()))
-            values.append(m.span(2))
     for kind, pattern in (("access", ACCESS), ("hex", HEX)):
         spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text)]
-    values += [m.span(1) for m in re.finditer(CONTEXT, text, re.IGNORECASE | re.ASCII)]
-    for start, end in dict.fromkeys(values):
-        if guess_cost(text[start:end], words)[0] >= strong:
+    for start, end in _values(text):
+        # A value inside a found one is covered by it.
+        if end > found and guess_cost(text[start:end], words)[0] >= strong:
             spans.append((start, "guess", end))
+            found = end
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -166,7 +178,7 @@ def scan(docs: DataFrame, text: str = "text", words: list[str] | None = None,
 
     ``n_assign``, ``n_access`` and ``n_hex`` count the base patterns, ``base_sha256`` is the hash
     of their places, ``spans`` lists all places as kind:start:end, joined by commas. Kind ``guess`` marks
-    values after a credential's name that take 10^``strong`` guesses or more. A null text is
+    values after a credential's name that take 10^``strong`` guesses or more; symbols (``VALUE``) are part of them. A null text is
     empty. Columns of these names in ``docs`` are replaced; repeated rows are scanned each.
     """
     ranks = {w: r for r, w in reversed(list(enumerate(WORDS if words is None else words, 1)))}
@@ -194,11 +206,15 @@ def scan(docs: DataFrame, text: str = "text", words: list[str] | None = None,
 def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """Replace every span that ``scan`` found by ``mask``; overlapping ones by a single one.
 
-    Only rows with spans change. Works on JVM expressions, from the last span to the first.
+    A value that an assign span ends inside of is replaced to its end. Only rows with spans change. Works on JVM expressions, from the last span to the first.
     """
+    def end(s):
+        return F.split_part(s, F.lit(":"), F.lit(3)).cast("int")
+
     parts = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(
         F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("a"),
-        F.split_part(s, F.lit(":"), F.lit(3)).cast("int").alias("b")))
+        (end(s) + F.when(s.startswith("assign"), F.length(F.regexp_extract(
+            F.substr(F.col(text), end(s) + 1, F.length(text)), f"^{VALUE}*", 0))).otherwise(0)).alias("b")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     folded = F.aggregate(F.array_sort(parts), start, lambda acc, s: F.when(
         s["a"] >= acc["at"],
