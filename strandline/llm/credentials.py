@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.common import schema_text, tidy
+from strandline.plans.sizing import settle
 
 # The base patterns and the least length of what they find (group 2 for assign).
 # A run of access or hex characters always ends where it must, so its length can be part of the pattern.
@@ -26,7 +27,7 @@ KINDS = ["assign", "access", "hex", "guess"]
 # Names that a credential's value may follow, those of assign among them. The value's characters include symbols.
 # A match is the name alone, with what lies before the value as group 1, so that a name which is a value itself counts too.
 VALUE = r"[A-Za-z0-9+/_.=!@#$%^&*~-]"
-CONTEXT = rf"""(?:(?:password|passwd|secret|token|api_?key)(?=(["']?\x20*[:=]\x20*["']?){VALUE})|(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|auth|bearer|access_?key|private_?key)(?=(["']?(?:\x20*[:=]\x20*|\x20)["']?){VALUE}))"""
+CONTEXT = rf"""(?:(?:password|passwd|secret|token|api_?key)(?=(["']?(?:\x20*[:=]\x20*|\x20)["']?){VALUE})|(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|auth|bearer|access_?key|private_?key)(?=(["']?(?:\x20*[:=]\x20*|\x20)["']?){VALUE}))"""
 
 # Frequent parts of passwords, the most frequent first. A word's place is its cost.
 WORDS = """
@@ -50,6 +51,8 @@ ROWS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
 SHIFTED = str.maketrans("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\\;',./")
 LEET = str.maketrans("4@3105$7", "aaeiosst")
 
+# At most so many words of a corpus, of at most LONGEST letters each: under a megabyte.
+CORPUS_WORDS = 32768
 GROUP_COST = math.log10(20)
 STRONG = 9.0
 LONGEST = 24
@@ -141,14 +144,48 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str
     return cost[size], parts[::-1]
 
 
+def corpus_words(docs: DataFrame, text: str = "text", most: int = CORPUS_WORDS) -> list[str]:
+    """Words of 3 to ``LONGEST`` ASCII letters that stand in most documents, at least two, the most frequent first.
+
+    Values behind names of credentials are left out, so that a password that comes often is no word by that.
+    At most ``most`` words come to the driver; of equally frequent ones at the end all or none.
+    """
+    value = rf"(?i){CONTEXT}\1?\2?{VALUE}+"
+    prose = F.regexp_replace(text, value, " ")
+    word = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])[a-z]{{3,{LONGEST}}}(?![\p{{L}}\p{{M}}\p{{N}}_])"
+    counts = settle(docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower(prose), F.lit(word), F.lit(0)))).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # Documents of n words have at most sqrt(2 n) different counts.
+    least, room = None, most
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        room -= row.words
+        if room < 0:
+            break
+        least = row.n
+    if least is None:
+        return []
+    return [r.word for r in sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))]
+
+
+def _mixed(value: str) -> bool:
+    """Whether a value has two of small letters, capitals inside, digits and symbols inside, as prose rarely has."""
+    inner = value.strip("!@#$%^&*~_.=/+-")
+    return sum(bool(re.search(c, inner)) for c in ("[a-z]", "(?<=.)[A-Z]", "[0-9]", "[!@#$%^&*]")) > 1
+
+
 def _values(text: str):
-    """Places of the values behind names; a value inside another has the same end."""
+    """Places of the values behind names; a value inside another has the same end.
+
+    Behind a mere space only values of mixed characters are meant.
+    """
     end = 0
     for m in re.finditer(CONTEXT, text, re.IGNORECASE | re.ASCII):
         start = m.end(m.lastindex)
         if start >= end:
             end = re.compile(f"{VALUE}+").match(text, start).end()
-        yield start, end
+        if m[m.lastindex].strip("\"' ") or _mixed(text[start:end]):
+            yield start, end
 
 
 def scan_text(text: str, words: dict[str, int], strong: float = STRONG) -> list[tuple[int, str, int]]:
@@ -179,9 +216,12 @@ def scan(docs: DataFrame, text: str = "text", words: list[str] | None = None,
     ``n_assign``, ``n_access`` and ``n_hex`` count the base patterns, ``base_sha256`` is the hash
     of their places, ``spans`` lists all places as kind:start:end, joined by commas. Kind ``guess`` marks
     values after a credential's name that take 10^``strong`` guesses or more; symbols (``VALUE``) are part of them. A null text is
-    empty. Columns of these names in ``docs`` are replaced; repeated rows are scanned each.
+    empty. Behind a name there must be a colon or an equals sign, or a value of mixed characters. ``words`` is
+    the ranked word list of the guess count; if None, it is ``WORDS`` and behind them ``corpus_words(docs)``. Columns of these names in ``docs`` are replaced; repeated rows are scanned each.
     """
-    ranks = {w: r for r, w in reversed(list(enumerate(WORDS if words is None else words, 1)))}
+    if words is None:
+        words = WORDS + corpus_words(docs, text)
+    ranks = {w: r for r, w in reversed(list(enumerate(words, 1)))}
     added = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     kept = docs.drop(*added)
     number = kept.columns.index(text)

@@ -24,3 +24,21 @@ def test_whole_values_are_masked(spark, shared):
     texts = ["password: k#9Lw$2xQz end", 'password = "$tR0ub4dor&3" é', "token=x7Kq9ZrT2m#%9, é", "password=sunshine#1 é", "é 😀 secret: abcdefgh&i"]
     rows = credentials.redact(credentials.scan(text_rows(spark, texts))).orderBy("doc_id").collect()
     assert [r.text for r in rows] == ["password: [SECRET] end", 'password = "[SECRET]" é', "[SECRET], é", "[SECRET] é", "é 😀 [SECRET]"]
+
+
+def test_prose_is_no_secret(spark, shared):
+    prose = ["the credentials provided by the office, credentials provided!", "a bearer certificate of deposit", "auth middleware runs",
+             "secret: nothing is there", "the password protected archive", "token: nothing here", "api_key: *undefined*", "auth and/or, auth OAuth2"]
+    known = ["nothing was undefined", "there is nothing", "an undefined word"]
+    hidden = ["pwd: kxqzvwjab", "password: kxqzvwjab", "Authorization: Bearer x7Kq9ZrT2m", "auth k#Lwxzqprt"]
+    rows = credentials.scan(text_rows(spark, prose + known + hidden)).orderBy("doc_id").collect()
+    assert [r.spans for r in rows if "guess" in r.spans] == [r.spans for r in rows[-4:]]
+    masked = credentials.redact(credentials.scan(text_rows(spark, prose + known))).orderBy("doc_id").collect()
+    assert [r.text for r in masked] == prose + known
+
+
+def test_corpus_words(spark, shared):
+    texts = ["The table, the chair", "table! tabl3 chair été", "table té3 (chair)", "pwd: kxqzvwj", "pwd=kxqzvwj", "auth = 'kxqzvwj'", "a_table once", None]
+    docs = text_rows(spark, texts)
+    assert credentials.corpus_words(docs) == ["chair", "table"]
+    assert credentials.corpus_words(docs, most=1) == [] and credentials.corpus_words(docs.limit(0)) == []
