@@ -21,6 +21,7 @@ from strandline.plans.sizing import lookup_side, settle
 SLACK = 1e-5
 FINEST = 1e-6
 COARSE = 0.1
+BLOCK = 1024
 FEW = 8     # so few members are children of their own: a wide node of them would meet almost every other
 
 
@@ -143,7 +144,11 @@ class Links:
             u, v = a.points[a.centers[p[single]]], b.points[b.centers[q[single]]]
             every[single] = np.einsum("ij,ij->i", u, v) >= self.least
             self._whole(p[every], q[every])
-            yield from zip(p[some & ~single].tolist(), q[some & ~single].tolist())
+            for u, v in zip(p[some & ~single].tolist(), q[some & ~single].tolist()):
+                if a.children[u] or b.children[v]:
+                    yield u, v
+                else:
+                    self._members(u, v)
         if inner:
             yield from ((c, c) for c in xs.tolist() if self._size(a, np.array([c]))[0] > 1)
 
@@ -165,6 +170,21 @@ class Links:
         for i in range(first + 1, last):
             self.unite(first, i)
 
+    def _members(self, x: int, y: int) -> None:
+        """Compare all members of two nodes without children, in blocks."""
+        (first, last), (start, stop) = self.a.spans[x].tolist(), self.b.spans[y].tolist()
+        for i in range(first, last, BLOCK):
+            left = slice(i, min(i + BLOCK, last))
+            for j in range(start, stop, BLOCK):
+                right = slice(j, min(j + BLOCK, stop))
+                near = self.a.points[left] @ self.b.points[right].T >= self.least
+                for counts, at, n in ((self.count_a, left, near @ self.b.weights[right]),
+                                      (self.count_b, right, self.a.weights[left] @ near)):
+                    counts[at] += n
+                    counts[at.start + 1:at.stop + 1] -= n
+                u, v = np.nonzero(near)
+                self._connect(i + u, self.base + j + v)
+
     def _whole(self, xs: np.ndarray, ys: np.ndarray) -> None:
         """Count and connect pairs of nodes of which all members link."""
         if not len(xs):
@@ -177,9 +197,12 @@ class Links:
             for first, last in tree.spans[np.unique(nodes)].tolist():
                 for i in range(first + 1, last):
                     self.unite(base + first, base + i)
-        ends = np.concatenate([self.a.spans[xs, 0], self.base + self.b.spans[ys, 0]])
-        places, at = np.unique(ends, return_inverse=True)
-        u, v = at[:len(xs)], at[len(xs):]
+        self._connect(self.a.spans[xs, 0], self.base + self.b.spans[ys, 0])
+
+    def _connect(self, lefts: np.ndarray, rights: np.ndarray) -> None:
+        """Unite the rows of ``lefts`` with those of ``rights`` at the same places."""
+        places, at = np.unique(np.concatenate([lefts, rights]), return_inverse=True)
+        u, v = at[:len(lefts)], at[len(lefts):]
         label = np.array([self.root(i) for i in places.tolist()])
         while True:
             least = np.minimum(label[u], label[v])
