@@ -84,23 +84,23 @@ def _walk(a: str, b: str) -> bool:
     return b in NEAR.get(a, ()) or (a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1)
 
 
-def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, words: dict[str, int], blocks: dict[str, float] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for ``value``, and its cheapest segmentation (kind, start, end).
 
     ``cost[j]`` is the least cost of the first j characters. Every part beside the first costs
-    a factor of 20 more, for guessing where it starts. Words and dates end at most ``LONGEST`` characters
-    after their start; a repeat or a walk may be of any length and is considered as a whole run from its start,
-    so the work grows in proportion to the length.
+    a factor of 20 more, for guessing where it starts. Words, dates and blocks that repeat have at most ``LONGEST`` characters.
+    A repeat or a walk may be of any length and start anywhere in its run. Its cost grows with the logarithm
+    of its length, so a start that an earlier one equals never wins again; few starts are kept, and
+    the work grows in proportion to the length.
     """
     size = len(value)
     plain = value.lower()
     leet, keys = plain.translate(LEET), plain.translate(SHIFTED)
-    repeat, walk = [1] * size, [1] * size   # length of the run that ends here
-    for i in range(1, size):
-        if value[i] == value[i - 1]:
-            repeat[i] = repeat[i - 1] + 1
-        if _walk(keys[i - 1], keys[i]):
-            walk[i] = walk[i - 1] + 1
+    same = [0] * (LONGEST + 1)    # how long characters have been those one period before
+    runs: dict[int, list[tuple[int, float]]] = {}    # starts of repeats by period, of walks under 0, and their costs
+    walk = 1
+    tried, tried_from = math.inf, 0    # least cost with a brute-force part at the end, and where that starts
+    blocks = {} if blocks is None else blocks    # costs of blocks that repeat
     cost = [0.0] + [math.inf] * size
     back: list[tuple[str, int]] = [("", 0)] * (size + 1)
     dates: dict[int, list[int]] = {}
@@ -113,12 +113,26 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str
         if total < cost[end]:
             cost[end], back[end] = total, (kind, start)
 
+    def run(name: int, kind: str, start: int, end: int, parts: float, unit: int, more: float = 0.0) -> None:
+        """Offer the best start of a run, with ``start`` as a new one."""
+        kept, least = [], math.inf
+        for at, fixed in [*runs.get(name, ()), (start, cost[start] + parts + (GROUP_COST if start else 0.0))]:
+            total = fixed + math.log10((end - at) / unit)
+            if total < least:
+                kept.append((at, fixed))
+                least = total
+        runs[name] = kept
+        if least + more < cost[end]:
+            cost[end], back[end] = least + more, (kind, kept[-1][0])
+
     for end in range(1, size + 1):
         # Brute force goes on from a brute-force part or starts one.
         each = math.log10(_class_size(value[end - 1]))
-        offer("brute", end - 1, end, each)
-        if back[end - 1][0] == "brute" and cost[end - 1] + each < cost[end]:
-            cost[end], back[end] = cost[end - 1] + each, ("brute", back[end - 1][1])
+        fresh = cost[end - 1] + (GROUP_COST if end > 1 else 0.0)
+        if fresh < tried:
+            tried, tried_from = fresh, end - 1
+        tried += each
+        cost[end], back[end] = tried, ("brute", tried_from)
         for length in range(3, min(LONGEST, end) + 1):
             part = plain[end - length:end]
             rank = words.get(part)
@@ -130,12 +144,25 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str
                 offer("word", end - length, end, math.log10(rank + 1) + (cased + other) * math.log10(2))
         for start in dates.get(end, ()):
             offer("date", start, end, DATE_COST[end - start > 4])
-        if repeat[end - 1] >= 3:
-            run = repeat[end - 1]
-            offer("repeat", end - run, end, each + math.log10(run))
-        if walk[end - 1] >= 3:
-            run = walk[end - 1]
-            offer("walk", end - run, end, math.log10(94 * run) + 0.1 * run)
+        last = end - 1
+        for period in range(1, min(LONGEST, last) + 1):
+            if value[last] != value[last - period]:
+                same[period] = 0
+                runs.pop(period, None)
+                continue
+            same[period] += 1
+            shortest = max(3, 2 * period)
+            if same[period] >= shortest - period:
+                start = end - shortest
+                block = value[start:start + period]
+                if block not in blocks:
+                    blocks[block] = guess_cost(block, words, blocks)[0]
+                run(period, "repeat", start, end, blocks[block], period)
+        walk = walk + 1 if last and _walk(keys[last - 1], keys[last]) else 1
+        if walk == 1:
+            runs.pop(0, None)
+        if walk >= 3:
+            run(0, "walk", end - 3, end, math.log10(94) - 0.1 * (end - 3), 1, 0.1 * end)
     parts, end = [], size
     while end:
         kind, start = back[end]
@@ -190,7 +217,7 @@ def _values(text: str):
 
 def scan_text(text: str, words: dict[str, int], strong: float = STRONG) -> list[tuple[int, str, int]]:
     """Spans (start, kind, end) in code points, by start and then by the order of the kinds."""
-    spans, found = [], 0
+    spans, done = [], 0
     if "=" in text or ":" in text:
         for m in re.finditer(ASSIGN, text, re.IGNORECASE | re.ASCII):
             if m.end(2) - m.start(2) >= LEAST_VALUE:
@@ -198,10 +225,11 @@ def scan_text(text: str, words: dict[str, int], strong: float = STRONG) -> list[
     for kind, pattern in (("access", ACCESS), ("hex", HEX)):
         spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text)]
     for start, end in _values(text):
-        # A value inside a found one is covered by it.
-        if end > found and guess_cost(text[start:end], words)[0] >= strong:
-            spans.append((start, "guess", end))
-            found = end
+        # A value inside another is scored with it.
+        if end > done:
+            done = end
+            if guess_cost(text[start:end], words)[0] >= strong:
+                spans.append((start, "guess", end))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
