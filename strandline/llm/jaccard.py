@@ -313,7 +313,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "
 
     Two documents link when their sets' Jaccard similarity is ``percent`` hundredths or more,
     compared in whole numbers. Returns ``doc_id``, ``n_shingles`` and ``component_id``, the smallest
-    id that links lead to, its own included.
+    id that links lead to, its own included. It yields groups only: pairs whose documents are connected already
+    are not compared, so neither the linked pairs nor their number per document come out.
 
     A text without words (null, empty, blanks) has no shingle and links with nothing. Rows with null
     key are returned with a null group and link with nothing. Rows that repeat a key are
