@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import covertree, credentials, jaccard, kdtree, language, packing, pfor, pieces, url_reputation, warc
+from strandline.llm import (
+    covertree, credentials, jaccard, kdtree, language, manifest, packing, pfor, pieces, url_reputation, warc)
 from strandline.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +66,14 @@ def op10_url_reputation(spark, sf_dir):
     return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), labels, RULES)
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    """Every document proven against the manifest, those with an even crc32 of their id after their line ends are gone."""
+    docs = _table(spark, sf_dir, "documents")
+    bare = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    changed = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains(F.col("text"), F.lit("\n"))
+    return manifest.audit(docs, ["doc_id", "source", "lang", "n_chars", "text"], {"text": bare}, changed)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -76,4 +85,5 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_kdtree_topk": op9_kdtree_topk,
     "op10_url_reputation": op10_url_reputation,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
