@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm import (
-    covertree, credentials, jaccard, kdtree, language, manifest, packing, pfor, pieces, url_reputation, warc)
+    conversations, covertree, credentials, decontamination, jaccard, kdtree, language, manifest, packing,
+    pfor, pieces, url_reputation, warc)
 from strandline.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,6 +67,15 @@ def op10_url_reputation(spark, sf_dir):
     return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), labels, RULES)
 
 
+def op11_conversation_repair(spark, sf_dir):
+    """Conversations with known damage, and the cheapest way to put each right."""
+    return conversations.conversation_report(conversations.damaged(_table(spark, sf_dir, "conversations")), F.col("lost"))
+
+
+def op12_decontamination(spark, sf_dir):
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     """Every document proven against the manifest, those with an even crc32 of their id after their line ends are gone."""
     docs = _table(spark, sf_dir, "documents")
@@ -85,5 +95,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_kdtree_topk": op9_kdtree_topk,
     "op10_url_reputation": op10_url_reputation,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_decontamination": op12_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
