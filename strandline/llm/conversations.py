@@ -1,9 +1,9 @@
 """Conversations put right: the cheapest edits after which the roles are an optional system turn and pairs of user and assistant.
 
 The search is iterative-deepening A*: depth first in the ASCII order of the edits under a bound that grows until a path
-is accepted, so the first accepted path is the cheapest, and of equally cheap ones the least as a text. States that failed
-are kept with the budget they failed with. The bound below a state's remaining cost is exact up to the end of the state's
-block of ``AHEAD`` rows, plus the least that each later block can cost by itself.
+is accepted, so the first accepted path is the cheapest, and of equally cheap ones the least as a text. States that failed under
+a bound are kept with the budget they failed with; the next bound is the least that was beyond it. The bound below a state's
+remaining cost takes blocks of ``AHEAD`` rows by themselves, whosever turn it is where they meet.
 
 Conversations of many rows are cut into segments. For each state a segment may begin and end in, the search gives the
 cost of its cheapest edits; passes over these small tables choose the states, and the segments are searched again between them.
@@ -25,7 +25,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 STOPS = ".!?"
 DELETE, INSERT, KEEP, REROLE = "DIKR"
 DELETE_COST, INSERT_COST, REROLE_COST, TRUNCATED_COST = 3, 2, 2, 1
-AHEAD = 16
+AHEAD = 64
 SEGMENT_ROWS = 256
 LARGE_ROWS, LARGE_BYTES = 4096, 16 << 20
 # States: nothing yet, after system, after user, after assistant.
@@ -70,14 +70,15 @@ def _inserted(costs: list[int]) -> list[int]:
 def remaining(kinds: list[int], exits: tuple[int, ...], last: bool, ahead: int = AHEAD) -> list[list[int]]:
     """A lower bound of the cost from each row and state to one of ``exits`` behind the last row.
 
-    Exact inside blocks of ``ahead`` rows, whatever state the block ends in. Turns may be inserted behind the last row only if ``last``.
+    Exact inside blocks of ``ahead`` rows; from one block to the next, user and assistant may change places for nothing. Turns may be inserted behind the last row only if ``last``.
     """
     here = [0 if s in exits else NEVER for s in STATES]
     bounds = [_inserted(here) if last else here]
     for row in range(len(kinds) - 1, -1, -1):
         after = bounds[-1]
         if (row + 1) % ahead == 0 and row + 1 < len(kinds):
-            after = [min(after)] * len(STATES)
+            phase = min(after[USER], after[ASSISTANT])
+            after = [after[START], after[SYSTEM], phase, phase]
         bounds.append(_inserted([min(cost + after[to] for _, cost, to in ROW_EDITS[kinds[row], s]) for s in STATES]))
     return bounds[::-1]
 
@@ -103,15 +104,20 @@ def search(kinds: list[int], entry: int = START, exits: tuple[int, ...] = ACCEPT
         first, *others = [(name, cost, row + 1, to) for name, cost, to in ROW_EDITS[kinds[row], state]]
         return iter([first, insert, *others])
 
-    failed: dict[tuple[int, int], int] = {}
     while True:
+        failed: dict[tuple[int, int], int] = {}
         path: list[str] = []
+        beyond = NEVER
         waiting = [(0, entry, 0, edits(0, entry))]
         while waiting:
             row, state, spent, left = waiting[-1]
             for name, cost, to_row, to in left:
                 total = spent + cost
-                if total + bounds[to_row][to] > bound or failed.get((to_row, to), -1) >= bound - total:
+                least = total + bounds[to_row][to]
+                if least > bound:
+                    beyond = min(beyond, least)
+                    continue
+                if failed.get((to_row, to), -1) >= bound - total:
                     continue
                 path.append(name)
                 if to_row == rows and to in exits:
@@ -123,7 +129,7 @@ def search(kinds: list[int], entry: int = START, exits: tuple[int, ...] = ACCEPT
                 failed[row, state] = max(failed.get((row, state), -1), bound - spent)
                 if path:
                     path.pop()
-        bound += 1
+        bound = beyond
 
 
 def segment_table(kinds: list[int], last: bool) -> tuple[list[int], list[int]]:
