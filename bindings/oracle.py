@@ -206,6 +206,32 @@ def _rule(name: str, size: int, scale: float) -> str:
             f"from range(0, {size}) t(i))")
 
 
+def _weighted(source: str, key: str, weight: str) -> str:
+    """Draws over exact running sums: weights in whole units of the power of two that brings their sum under 2^61."""
+    return f"""with weighted as (select {key}, {weight} as w from {source}),
+    positive as (select * from weighted where w > 0 and not isnan(w)),
+    top as (select (select min(e) from range(-1080, 1026) t(e) where power(2.0::double, e) > m) as e from (select max(w) as m from positive)),
+    coarse as (select sum(floor(w * power(2.0::double, 31 - e))::hugeint + 1) as c from positive, top),
+    scale as (select 92 - e - (select min(k) from range(0, 120) t(k) where (1::hugeint << k) > c) as s from coarse, top),
+    units as (select {key}, floor(w * power(2.0::double, s))::hugeint as q from positive, scale),
+    ends as (
+        select {key}, sum(q) over (order by md5({key}::varchar), {key}::varchar) as hi from units where q > 0),
+    draws as (
+        select i as draw, (cast('0x' || substr(md5('42|' || i), 1, 13) as hugeint) * (select max(hi) from ends)) // 4503599627370496 as t
+        from range(0, (select count(*) from {source})) r(i))
+    select {key}, draw from draws asof join ends on t < hi"""
+
+
+FOLD_SCORES = "with " + ", ".join(
+    f"w{f} as (select list(w order by i) filter (where i < {WIDTH}) as a, "
+    f"list(w order by i) filter (where i >= {WIDTH}) as b from {_rule(f'{f}.head.weight', 2 * WIDTH, 4.0)}), "
+    f"b{f} as (select list(w order by i) as b from {_rule(f'{f}.head.bias', 2, 1.0)})"
+    for f in FOLD_IDS) + ", scored as (" + " union all ".join(
+    f"""select vec_id, {f} as fold_number, 1 / (1 + exp(
+        list_dot_product((select a from w{f}), embedding::double[]) + (select b[1] from b{f})
+        - list_dot_product((select b from w{f}), embedding::double[]) - (select b[2] from b{f}))) as p
+    from embeddings""" for f in FOLD_IDS) + ")"
+
 CENTROID_HEADS = f"""folded as (
     select e.vec_id, cast(floor({_unit("'fold|' || e.vec_id")} * {FOLDS}) as int) as fold, l.quality, e.embedding
     from embeddings e join labels l on e.vec_id = l.doc_id),
@@ -384,15 +410,11 @@ ORACLE = {
            when not ({ACCEPTED}) then 'invalid category' else 'no features' end as reason
     from cleaned c left join embeddings e on c.doc_id = e.vec_id
     where not coalesce({ACCEPTED}, false) or e.embedding is null""",
-    "fold_scores": "with " + ", ".join(
-        f"w{f} as (select list(w order by i) filter (where i < {WIDTH}) as a, "
-        f"list(w order by i) filter (where i >= {WIDTH}) as b from {_rule(f'{f}.head.weight', 2 * WIDTH, 4.0)}), "
-        f"b{f} as (select list(w order by i) as b from {_rule(f'{f}.head.bias', 2, 1.0)})"
-        for f in FOLD_IDS) + " " + " union all ".join(
-        f"""select vec_id, {f} as fold_number, round(1 / (1 + exp(
-            list_dot_product((select a from w{f}), embedding::double[]) + (select b[1] from b{f})
-            - list_dot_product((select b from w{f}), embedding::double[]) - (select b[2] from b{f}))), 6) as probability
-        from embeddings""" for f in FOLD_IDS),
+    "fold_scores": f"""{FOLD_SCORES}
+    select vec_id, fold_number, round(p, 6) as probability from scored""",
+    "ensemble_score_blocked": f"""{FOLD_SCORES}
+    select vec_id, round(avg(p), 4) as Probability, case when avg(p) >= 0.5::double then 1 else 0 end as Prediction
+    from scored group by vec_id""",
     "predict_rules": f"""with {PAIRED}, scored as (select *, 1 / (1 + exp(z0 - z)) as p from pairs)
     select vec_id, round(p, 6) as probability, case when p >= 0.5 then 1 else 0 end as by_threshold,
            case when z > z0 then 1 else 0 end as by_argmax from scored""",
@@ -455,6 +477,8 @@ ORACLE = {
         round(1.0::double / count(*) over (partition by l_returnflag || l_linestatus), 10) as weight from lineitem""",
     "weighted_sample": _sample("documents", "doc_id", "lang"),
     "weighted_sample_orders": _sample("orders", "o_orderkey", "o_orderpriority"),
+    "weighted_sample_general": _weighted("orders", "o_orderkey", "case when o_orderstatus <> 'P' "
+                                         "then o_totalprice::double * (o_orderkey % 7) end"),
     "shuffle_position": """select o_orderkey, row_number() over (
         order by md5('42|' || o_orderkey), o_orderkey) - 1 as position from orders""",
     "metric_bundle": _bundle("""select 0 as g, case when label < 5 then 1 else 0 end as y,

@@ -14,8 +14,8 @@ from strandline.functions import losses, vectors
 from strandline.functions.hashing import digest, seeded_parameters, unit
 from strandline.functions.text import length_bin, residue_counts, spaced, stratum_key, tidy_category
 from strandline.operators import (
-    balance, clean, consistency, encode, heads, history, metrics, pooling, score, split, union,
-    vocab)
+    balance, clean, consistency, encode, heads, history, metrics, pooling, sampling, score, split,
+    union, vocab)
 from strandline.plans import scoring, training
 from strandline.plans.running import dense_position
 from strandline.plans.sizing import left_lookup, lookup_side, settle
@@ -99,15 +99,25 @@ def _ensemble(spark, sf_dir, part):
         allowed=ALLOWED, no_category=NO_CATEGORY).drop("embedding")
 
 
-def fold_scores(spark, sf_dir):
-    models = spark.createDataFrame([row for f in FOLD_IDS for row in model_rows(f, {
+def _linear_models(spark):
+    return spark.createDataFrame([row for f in FOLD_IDS for row in model_rows(f, {
         "head.weight": seeded_parameters(f"{f}.head.weight", 2, WIDTH, scale=4.0),
         "head.bias": seeded_parameters(f"{f}.head.bias", 2)})], MODEL_SCHEMA)
+
+
+def fold_scores(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
-    return score.fold_scores(rows, [F.col("embedding")], models).select(
+    return score.fold_scores(rows, [F.col("embedding")], _linear_models(spark)).select(
         "vec_id", "fold_number", F.round("probability", 6).alias("probability"))
 
 
+def ensemble_score_blocked(spark, sf_dir):
+    """The heads of ``fold_scores``, their weights joined in blocks to blocks of the vectors."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scored = score.ensemble_score(rows, [F.col("embedding")], _linear_models(spark), key="vec_id", max_numbers=WIDTH)
+    return scored.select("vec_id", "Probability", "Prediction")
+
+
 def predict_rules(spark, sf_dir):
     x = F.col("embedding")
     rows = score.predict_rules(_table(spark, sf_dir, "embeddings"),
@@ -275,6 +285,13 @@ def weighted_sample_orders(spark, sf_dir):
     return balance.balanced_sample(orders, "o_orderpriority", "o_orderkey")
 
 
+def weighted_sample_general(spark, sf_dir):
+    """Orders drawn by price times a small factor: some weights are zero, some null."""
+    orders = _table(spark, sf_dir, "orders")
+    weight = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double") * (F.col("o_orderkey") % 7))
+    return sampling.weighted_sample(orders, weight, "o_orderkey").select("o_orderkey", "draw")
+
+
 def shuffle_position(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderkey")
     return balance.shuffle_position(orders, "o_orderkey")
@@ -338,7 +355,7 @@ def loss_cross_entropy(spark, sf_dir):
 
 def epoch_loss(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
-    batched = metrics.number_batches(events, "event_type", [F.col("ts"), F.col("event_id")])
+    batched = metrics.number_batches(events, "event_type", ["ts"], key="event_id")
     out = metrics.epoch_loss(batched, "event_type", "batch", F.col("value"))
     return _bundle(out, "event_type", "batches")
 
@@ -471,6 +488,7 @@ QUERIES = {
     "ensemble_score": ensemble_score,
     "score_rejects": score_rejects,
     "fold_scores": fold_scores,
+    "ensemble_score_blocked": ensemble_score_blocked,
     "predict_rules": predict_rules,
     "dense_head": dense_head,
     "clean_route": clean_route,
@@ -492,6 +510,7 @@ QUERIES = {
     "balance_weights_lineitem": balance_weights_lineitem,
     "weighted_sample": weighted_sample,
     "weighted_sample_orders": weighted_sample_orders,
+    "weighted_sample_general": weighted_sample_general,
     "shuffle_position": shuffle_position,
     "metric_bundle": metric_bundle,
     "metric_bundle_by_lang": metric_bundle_by_lang,

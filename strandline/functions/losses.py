@@ -47,9 +47,12 @@ def focal_loss(logit: Column, label: Column, alpha: float = 0.75, gamma: float =
 
 
 def cross_entropy(l0: Column, l1: Column, label: Column) -> Column:
-    """Cross-entropy of two logits: log-sum-exp minus the logit of the label."""
+    """Cross-entropy of two logits: log-sum-exp minus the logit of the label.
+
+    Null where a logit or the label is null, or the label is neither 0 nor 1, so that a mean leaves such rows out.
+    """
     return F.greatest(l0, l1) + F.log1p(F.exp(-F.abs(l0 - l1))) - F.when(
-        label == 1, l1).otherwise(l0)
+        label == 1, l1).when(label == 0, l0)
 
 
 def flagged_mean(value: Column, flag: Column, weight: float = 3.0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.functions.hashing import digest, unit
+from strandline.operators.sampling import gathered
 from strandline.plans.running import HOT_ROWS, dense_position
 from strandline.plans.sizing import left_lookup, lookup_side, settle
 
@@ -34,9 +35,9 @@ def balanced_sample(
 
     This is what sampling by inverse-frequency weights means, as every group has mass 1.
     ``key`` has to be unique. Draws find their row through (group, position), both hashed
-    from the draw number. A row expected more than ``copy_draws`` times (a tiny group in a
-    big sample) is given salted copies, so that its draws spread over many tasks.
-    The wide rows move once, in the last join. Adds ``draw``.
+    from the draw number. The key of a row expected more than ``copy_draws`` times (a tiny group in a
+    big sample) is given salted copies, so that its draws spread over many tasks; the
+    wide rows move once, in the last join, and are never copied before it. Adds ``draw``.
     """
     spark = df.sparkSession
     groups = settle(group_counts(df, group))
@@ -69,11 +70,8 @@ def balanced_sample(
     ).select("draw", "__g", F.floor(F.col("__u") * F.col("group_rows")).alias("__position"),
              (F.col("draw") % F.col("__copies")).alias("__salt"))
 
-    picked = drawn.join(placed, ["__g", "__position", "__salt"]).select(
-        "draw", "__key", "__salt")
-    wide = left_lookup(df, by_group.drop("__g"), [group], "inner").select(
-        *df.columns, F.col(key).alias("__key"), salted)
-    return wide.join(picked, ["__key", "__salt"]).select(*df.columns, "draw")
+    picked = drawn.join(placed, ["__g", "__position", "__salt"]).select("draw", "__key")
+    return gathered(df, picked, key, copy_draws)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -84,7 +82,10 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def shuffle_position(
     df: DataFrame, key: str, seed: int = 42, name: str = "position", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add the 0-based place of each row in the order of ``shuffled``."""
-    hashed = df.withColumns({"__all": F.lit(0), "__digest": digest(F.lit(seed), F.col(key))})
-    return dense_position(hashed, ["__all"], [F.col("__digest"), F.col(key)], name, hot_rows).drop(
-        "__all", "__digest")
+    """Add the 0-based place of each row in the order of ``shuffled``.
+
+    Keys and their hashes are placed; rows with further columns meet their place by a join on the key.
+    """
+    hashed = df.select(key).withColumns({"__all": F.lit(0), "__digest": digest(F.lit(seed), F.col(key))})
+    placed = dense_position(hashed, ["__all"], [F.col("__digest"), F.col(key)], name, hot_rows).select(key, name)
+    return placed if df.columns == [key] else df.join(placed, key).select(*df.columns, name)

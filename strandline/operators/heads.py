@@ -112,7 +112,7 @@ def head_logits(
 ) -> Column:
     """``array<double>`` with two logits per fold, folds in order; null where an input is null."""
     parts = []
-    for group in fold_groups(models):
+    for group in fold_groups(models, strict=True):
         folds = models.sparkSession.sparkContext.broadcast(
             load_folds(models.where(F.col("fold").isin(group))))
         parts.append(_batched(lambda b=folds: b.value, forward)(*inputs))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.plans.running import HOT_ROWS, dense_position, running
-from strandline.plans.sizing import settle
+from strandline.plans.running import HOT_ROWS, dense_position, keyed_position
+from strandline.plans.sizing import left_lookup, lookup_side
 
+MOST_RANGES = 65_536
 CURVE_METRICS = ["auc", "pr_auc"]
 COUNT_METRICS = ["acc", "mcc", "f1", "recall", "precision"]
 
@@ -64,18 +67,31 @@ def metric_bundle(
     those with such a label on no curve; ``count_skipped`` adds their number as ``skipped``.
 
     Rows are first reduced to one row per distinct score, with partial sums map-side; the
-    curve areas then need running counts in score order, which ``running`` splits.
+    curve areas then need running counts in score order. Beyond ``hot_rows`` rows the scores are cut into ranges: the
+    counts of every range are summed first, and the areas of a range start from those of the ranges above it, so that
+    nothing is written but one row per group and range.
     AUC counts ties half and is 0.5 with one class; ``pr_auc`` is average precision over
     distinct thresholds.
     """
     keys = by or ["__all"]
     named = df if by else df.withColumn("__all", F.lit(0))
-    points = settle(named.groupBy(*keys, score.alias("__score")).agg(
-        F.sum((label == 1).cast("long")).alias("p"),
-        F.sum((label == 0).cast("long")).alias("n"),
-        *confusion(label, prediction).values(), skipped(label, prediction)))
-    curve = running(points, keys, [F.col("__score").desc()], {
-        "up_p": ("sum", F.col("p")), "up_n": ("sum", F.col("n"))}, True, hot_rows)
+    cells = [F.sum((label == 1).cast("long")).alias("p"), F.sum((label == 0).cast("long")).alias("n")]
+    cuts = _score_cuts(df, score, hot_rows)
+    if cuts is None:
+        parts = keys
+    else:
+        parts = [*keys, "__range"]
+        named = named.withColumn("__range", _score_range(cuts)(score.cast("double")))
+    points = named.groupBy(*parts, score.alias("__score")).agg(
+        *cells, *confusion(label, prediction).values(), skipped(label, prediction))
+    above = Window.partitionBy(*parts).orderBy(F.col("__score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    curve = points.withColumns({"up_p": F.sum("p").over(above), "up_n": F.sum("n").over(above)})
+    if cuts is not None:
+        higher = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = lookup_side(named.groupBy(*parts).agg(*cells).select(*parts, *[
+            F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"__from_{c}") for c in ("p", "n")]))
+        curve = left_lookup(curve, carried, parts).withColumns({
+            f"up_{c}": F.col(f"up_{c}") + F.col(f"__from_{c}") for c in ("p", "n")})
     p, n, up_p, up_n = (F.col(c).cast("double") for c in ("p", "n", "up_p", "up_n"))
     totals = curve.groupBy(*keys).agg(
         F.sum("p").cast("double").alias("__p"), F.sum("n").cast("double").alias("__n"),
@@ -93,6 +109,30 @@ def metric_bundle(
                          *[F.coalesce("skipped", F.lit(0)).alias("skipped")] * count_skipped)
 
 
+def _score_cuts(df: DataFrame, score: Column, hot_rows: int) -> list[float] | None:
+    """About evenly spaced scores to cut ranges at, or None for up to ``hot_rows`` rows."""
+    rows = df.count()
+    if rows <= hot_rows:
+        return None
+    ranges = min(MOST_RANGES, 2 * -(-rows // hot_rows))
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(score.cast("double"), shares, 4 * ranges)).first()[0]
+    return sorted(set(found or []))
+
+
+def _score_range(cuts: list[float]):
+    """Number of a score's range, from the highest scores down: NaN is above all numbers, null below."""
+    edges = np.array(cuts)
+
+    @F.arrow_udf("int")
+    def number(scores: pa.Array) -> pa.Array:
+        values = scores.to_numpy(zero_copy_only=False)
+        found = len(edges) - np.searchsorted(edges, values, side="left")
+        return pa.array(np.where(scores.is_null().to_numpy(zero_copy_only=False), len(edges) + 1, found), pa.int32())
+
+    return number
+
+
 def auc_ap(
     df: DataFrame, label: Column, score: Column, by: list[str] = [], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -101,11 +141,16 @@ def auc_ap(
 
 
 def number_batches(
-    df: DataFrame, epoch: str, order: list[Column], batch_rows: int = 32,
-    name: str = "batch", hot_rows: int = HOT_ROWS,
+    df: DataFrame, epoch: str, order: list[Column] | list[str], batch_rows: int = 32,
+    name: str = "batch", hot_rows: int = HOT_ROWS, key: str | None = None,
 ) -> DataFrame:
-    """Add the number of the fixed-size batch a row falls into inside its epoch."""
-    placed = dense_position(df, [epoch], order, name, hot_rows)
+    """Add the number of the fixed-size batch a row falls into inside its epoch.
+
+    With a unique ``key`` and an ``order`` of column names, only these and the epoch are sorted; the rows meet their
+    batch by a join on the key.
+    """
+    placed = dense_position(df, [epoch], order, name, hot_rows) if key is None else keyed_position(
+        df, [epoch], order, key, name, hot_rows)
     return placed.withColumn(name, F.floor(F.col(name) / batch_rows))
 
 

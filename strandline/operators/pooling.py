@@ -22,6 +22,18 @@ def vector_means(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     return _weighted_means(df, by, F.col(vector), F.lit(1.0), "mean")
 
 
+def vector_sums(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """Sum vector and number of rows per group, in long form ``by, pos, sum, count``.
+
+    One JVM buffer per group, as in ``vector_means``. Rows without a vector, or with a null in it, don't count.
+    """
+    x = F.col(vector)
+    rows = df.where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull())).select(
+        *by, array_to_vector(x.cast("array<double>")).alias("__x"))
+    sums = rows.groupBy(*by).agg(vector_to_array(Summarizer.sum(F.col("__x"))).alias("__sum"), F.count(F.lit(1)).alias("count"))
+    return sums.select(*by, "count", F.posexplode("__sum").alias("pos", "sum"))
+
+
 def _weighted_means(df: DataFrame, by: list[str], vector: Column, weight: Column, name: str) -> DataFrame:
     """Weighted mean vector per group in long form; only one row per group is ever exploded."""
     rows = df.where(vector.isNotNull()).select(

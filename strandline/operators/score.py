@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.functions.losses import argmax_rule, softmax_positive, threshold_rule
+from strandline.operators.blocks import with_logits
 from strandline.operators.heads import head_logits, linear_head
-from strandline.sources.models import list_folds
+from strandline.sources.models import MAX_MODEL_NUMBERS, list_folds, model_numbers
 
 
 def fold_probabilities(logits: Column) -> Column:
@@ -27,13 +28,20 @@ def array_mean(values: Column) -> Column:
 def ensemble_score(
     df: DataFrame, inputs: list[Column], models: DataFrame,
     forward: Callable[..., np.ndarray] = linear_head, threshold: float = 0.5,
+    key: str | None = None, max_numbers: int = MAX_MODEL_NUMBERS,
 ) -> DataFrame:
     """Add ``Probability`` (mean over folds, 4 digits) and ``Prediction``.
 
     All folds score a row in one pass; no shuffle, no join. The unrounded mean decides.
+    Linear heads of more than ``max_numbers`` parameters in all are not broadcast if a unique ``key`` is given: their blocks are joined to
+    blocks of the rows' vectors.
     """
+    if key is not None and forward is linear_head and model_numbers(models) > max_numbers:
+        scored = with_logits(df, key, inputs[0], models, "__logits")
+    else:
+        scored = df.withColumn("__logits", head_logits(inputs, models, forward))
     return (
-        df.withColumn("__logits", head_logits(inputs, models, forward))
+        scored
         .withColumn("__mean", array_mean(fold_probabilities(F.col("__logits"))))
         .withColumn("Probability", F.round("__mean", 4))
         .withColumn("Prediction", threshold_rule(F.col("__mean"), threshold))

@@ -30,11 +30,21 @@ def _keyed(df: DataFrame, stratum: Column, key: str, seed: int, digits: int) ->
 
 
 def prefix_counts(
-    df: DataFrame, stratum: Column, key: str, seed: int = 42, digits: int = PREFIX_DIGITS
+    df: DataFrame, stratum: Column, key: str, seed: int = 42, digits: int = PREFIX_DIGITS, unique: bool = False,
 ) -> DataFrame:
-    """Rows per (stratum, md5 prefix), written once; everything exact is derived from it."""
-    return settle(_keyed(df, stratum, key, seed, digits).groupBy(_STRATUM, _PREFIX)
-                  .agg(F.count(F.lit(1)).alias("rows")))
+    """Rows per (stratum, md5 prefix), written once; everything exact is derived from it.
+
+    With ``unique``, the same scan counts the distinct hashes of each bucket, and rows that repeat a key of
+    their stratum are an error that gives their number. Hashes are then shuffled, each once for a task.
+    """
+    grouped = _keyed(df, stratum, key, seed, digits).groupBy(_STRATUM, _PREFIX)
+    if not unique:
+        return settle(grouped.agg(F.count(F.lit(1)).alias("rows")))
+    counts = settle(grouped.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(_HASH).alias("__keys")))
+    repeats = counts.agg(F.sum(F.col("rows") - F.col("__keys"))).first()[0]
+    if repeats:
+        raise ValueError(f"{repeats} rows repeat a key of another row in their stratum, so quotas can't be exact")
+    return counts.drop("__keys")
 
 
 def stratum_sizes(counts: DataFrame) -> DataFrame:
@@ -141,9 +151,13 @@ def fold_quotas(sizes: DataFrame, k: int) -> DataFrame:
 def stratified_kfold(
     df: DataFrame, stratum: Column, key: str, k: int = 5, name: str = "fold", seed: int = 42,
     digits: int = PREFIX_DIGITS, hot_rows: int = HOT_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
-    """Add the fold number; fold sizes of a stratum differ by one row at most."""
-    counts = prefix_counts(df, stratum, key, seed, digits)
+    """Add the fold number; fold sizes of a stratum differ by one row at most.
+
+    ``unique`` makes repeated keys an error instead of rows that share a place.
+    """
+    counts = prefix_counts(df, stratum, key, seed, digits, unique)
     quotas = settle(fold_quotas(stratum_sizes(counts), k))
     biggest = quotas.agg(F.max("n")).first()[0]
     if biggest is not None and biggest < k:
@@ -201,9 +215,13 @@ def split_quotas(sizes: DataFrame, held_out: float = 0.3, test_of_held: float =
 def stratified_split(
     df: DataFrame, stratum: Column, key: str, held_out: float = 0.3, test_of_held: float = 0.5,
     name: str = "split", seed: int = 42, digits: int = PREFIX_DIGITS, hot_rows: int = HOT_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
-    """Add ``train``, ``val`` or ``test``: by default 70/15/15 with exact quotas per stratum."""
-    counts = prefix_counts(df, stratum, key, seed, digits)
+    """Add ``train``, ``val`` or ``test``: by default 70/15/15 with exact quotas per stratum.
+
+    ``unique`` makes repeated keys an error instead of rows that share a place.
+    """
+    counts = prefix_counts(df, stratum, key, seed, digits, unique)
     quotas = settle(split_quotas(stratum_sizes(counts), held_out, test_of_held).select(
         "stratum", "n", F.array(F.col("train"), F.col("train") + F.col("val")).alias("ends")))
     parts = assign_parts(df, stratum, key, counts, quotas, 3, name, seed, digits, hot_rows)

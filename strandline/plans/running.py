@@ -95,3 +95,18 @@ def dense_position(
     """Add the 0-based position of every row inside its group."""
     counted = running(df, by, order, {name: ("sum", F.lit(1).cast("long"))}, True, hot_rows)
     return counted.withColumn(name, F.col(name) - 1)
+
+
+def keyed_position(
+    df: DataFrame, by: list[str], order: list[str], key: str, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``dense_position`` in ascending order of columns, with ``key`` to tell ties apart.
+
+    Only group, order and key are sorted, ranged and counted; all other columns stay where they are until the join on
+    the key, which has to be unique and not null.
+    """
+    narrow = list(dict.fromkeys([*by, *order, key]))
+    placed = dense_position(df.select(narrow), by, [F.col(c) for c in dict.fromkeys([*order, key])], name, hot_rows)
+    if set(df.columns) == set(narrow):
+        return placed.select(*df.columns, name)
+    return df.join(placed.select(key, name), key).select(*df.columns, name)

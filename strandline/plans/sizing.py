@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +31,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, which the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def text_bytes(df: DataFrame) -> int:
     """Bytes of ``df`` written out as JSON text, an upper bound in practice for its rows."""
     row = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()

@@ -8,7 +8,7 @@ checkpoint and the reports are the point here. Other learners of linear heads ca
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -26,7 +26,7 @@ from strandline.operators.metrics import COUNT_METRICS, CURVE_METRICS, metric_bu
 from strandline.operators.split import stratified_kfold, stratified_split, train_part
 from strandline.operators.union import sample_group
 from strandline.plans.sizing import compact, left_lookup, lookup_side, settle
-from strandline.sources.models import MODEL_SCHEMA, model_rows, save_fold
+from strandline.sources.models import MODEL_SCHEMA, model_rows, publish_best
 from strandline.sources.tables import append_history, write_table
 
 GRID = (0.01, 0.1)  # regularisation strengths, tried in this order
@@ -45,20 +45,25 @@ class Fit:
 class Training:
     """What a training run leaves: the metric history, the best models, the reports.
 
-    ``summary`` is the mean over folds of the best validation metric (k-fold only).
+    ``summary`` is the mean over folds of the best validation metric (k-fold only); ``scores`` has that metric by fold.
     """
 
     history: DataFrame
     models: DataFrame
     report: DataFrame
     summary: DataFrame | None = None
+    scores: dict[int, float] = field(default_factory=dict)
 
 
-def save_training(run: Training, folder: str) -> None:
-    """Write the best models by fold, append the metric history, write the report as CSV."""
-    save_fold(run.models, f"{folder}/models")
+def save_training(run: Training, folder: str) -> list[int]:
+    """Publish the folds' models that beat what the folder holds, log the metric history once, write the report as CSV.
+
+    Returns the published folds; models of a worse run are left as they are.
+    """
+    better = publish_best(run.models, run.scores, f"{folder}/models")
     append_history(run.history, f"{folder}/history")
     write_table(run.report, f"{folder}/report.csv")
+    return better
 
 
 def with_category(features: Column, index: Column, categories: int) -> Column:
@@ -141,18 +146,22 @@ def _fit_all(parts: range, grid: tuple, data_of, weight_of, learner: Learner) ->
 
 
 def _scored(rows: DataFrame, heads: dict[tuple, dict], grid: tuple) -> DataFrame:
-    """Each row scored by every candidate of its own fold: all heads in one pass."""
+    """Each row scored by every candidate of every fold, in one pass of all heads over it.
+
+    Only scores are repeated, never features: a row is ``val`` for its own fold's candidates and ``train`` for all others.
+    """
     order = sorted(heads)
     head = {f"head.{name}": np.concatenate([heads[j][f"head.{name}"] for j in order])
             for name in ("weight", "bias")}
-    logits = row_head(head, linear_head, [F.col("features")])
-    fold, candidate = F.col("fold"), F.col("candidate")
-    at = (fold * len(grid) + candidate) * 2 + 1
-    l0, l1 = F.element_at("__logits", at), F.element_at("__logits", at + 1)
-    return rows.withColumn("__logits", logits).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("candidate")).select(
-        "fold", "candidate", F.col("label").cast("int").alias("label"),
-        softmax_positive(l0, l1).alias("score"), argmax_rule(l0, l1).alias("prediction"))
+    scored = rows.select("fold", F.col("label").cast("int").alias("label"),
+                         row_head(head, linear_head, [F.col("features")]).alias("__logits"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(len(order) - 1)), lambda i: F.struct(
+        F.element_at("__logits", 2 * i + 1).alias("l0"), F.element_at("__logits", 2 * i + 2).alias("l1")))
+    number = F.floor(F.col("at") / len(grid)).cast("int")
+    return scored.select("fold", "label", F.posexplode(pairs).alias("at", "l")).select(
+        F.when(F.col("fold") == number, "val").otherwise("train").alias("part"), number.alias("fold"),
+        (F.col("at") % len(grid)).alias("candidate"), "label",
+        softmax_positive(F.col("l.l0"), F.col("l.l1")).alias("score"), argmax_rule(F.col("l.l0"), F.col("l.l1")).alias("prediction"))
 
 
 def _history(metrics: DataFrame, trained: DataFrame, fits: dict, run: str) -> DataFrame:
@@ -181,8 +190,10 @@ def _best(history: DataFrame) -> DataFrame:
         F.max(F.when(counts, F.col("value"))).alias("best_value"))
 
 
-def _metrics(scored: DataFrame) -> DataFrame:
-    return metric_bundle(scored, F.col("label"), F.col("score"), F.col("prediction"), ["fold", "candidate"])
+def _metrics(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics of every fold and candidate on the validation and on the training part."""
+    both = settle(metric_bundle(scored, F.col("label"), F.col("score"), F.col("prediction"), ["part", "fold", "candidate"]))
+    return tuple(both.where(F.col("part") == part).drop("part") for part in ("val", "train"))
 
 
 def _parameters(model: LogisticRegressionModel) -> dict[str, np.ndarray]:
@@ -203,7 +214,7 @@ def train_kfold(
     per fold, as ``ensemble_score`` reads it.
     """
     folded = stratified_kfold(
-        df, stratum_key(F.col(category), F.col(label)), key, k, seed=seed
+        df, stratum_key(F.col(category), F.col(label)), key, k, seed=seed, unique=True
     ).withColumn("is_lipo", F.lit(1.0))
     if plain is not None:
         folded = folded.unionByName(
@@ -218,14 +229,11 @@ def train_kfold(
     data = settle(data)
     fitted, fits = _fit_all(range(k), grid, lambda f: train_part(data, f),
                             lambda f: F.col("weights")[f], learner)
-    scored = _scored(data.where(F.col("fold").isNotNull()), fitted, grid)
-    own = data.withColumn("fold", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.col("fold").isNull() | (f != F.col("fold")))))
-    trained = settle(_metrics(_scored(own, fitted, grid)))
-    metrics = settle(_metrics(scored))
+    metrics, trained = _metrics(_scored(data, fitted, grid))
     history = _history(metrics, trained, fits, run)
     best = settle(_best(history))
-    chosen = {r.fold: r.best_epoch for r in best.collect()}
+    found = best.collect()
+    chosen = {r.fold: r.best_epoch for r in found}
     models = data.sparkSession.createDataFrame([
         row for f, c in chosen.items() if c is not None
         for row in model_rows(f, fitted[f, c])], MODEL_SCHEMA)
@@ -240,7 +248,7 @@ def train_kfold(
         best.select("fold", F.col("best_epoch").alias("candidate"))
         .join(metrics, ["fold", "candidate"], "left").join(counts, "fold").orderBy("fold"))
     summary = cv_summary(best.withColumn("run", F.lit(run)), ["run"])
-    return Training(history, models, report, summary)
+    return Training(history, models, report, summary, {r.fold: r.best_value for r in found})
 
 
 def train_holdout(
@@ -255,11 +263,11 @@ def train_holdout(
     vector = features.cast("array<double>").alias("features")
     target = F.col(label).cast("double").alias("label")
     data = compact(settle(
-        stratified_split(df, stratum, key, seed=seed).select(vector, target, "split")))
+        stratified_split(df, stratum, key, seed=seed, unique=True).select(vector, target, "split")))
     fitted, fits = _fit_all(range(1), grid, lambda _: data.where("split = 'train'"),
                             lambda _: F.lit(1.0), learner)
-    metrics, trained = (settle(_metrics(_scored(
-        data.where(F.col("split") == part).withColumn("fold", F.lit(0)), fitted, grid))) for part in ("val", "train"))
+    fold = F.when(F.col("split") == "val", 0)
+    metrics, trained = _metrics(_scored(data.where("split <> 'test'").withColumn("fold", fold), fitted, grid))
     history = _history(metrics, trained, fits, run)
     best = _best(history).first()
     if best is None or best.best_epoch is None:
@@ -269,4 +277,4 @@ def train_holdout(
     held = data.where("split = 'test'") if test is None else test.select(vector, target)
     report = metric_bundle(
         _scored(held.withColumn("fold", F.lit(0)), {(0, 0): chosen}, grid[:1]), F.col("label"), F.col("score"), F.col("prediction"))
-    return Training(history, models, report)
+    return Training(history, models, report, scores={0: best.best_value})

@@ -9,7 +9,7 @@ from strandline.functions.text import length_bin, residue_counts
 from strandline.operators.vocab import category_index, static_vocab
 from strandline.plans import training
 from strandline.plans.scoring import score_file
-from strandline.sources.tables import read_table, write_table
+from strandline.sources.tables import read_history, read_table, write_table
 
 LETTERS = "AKL"
 
@@ -44,9 +44,8 @@ def test_train_kfold(spark, peptides, tmp_path):
     assert all(r.train_rows + r.val_rows == n + extra for r in report)
     assert all(r.mcc > 0.8 and r.auc > 0.95 for r in report)
     assert run.history.where("tag = 'mcc'").count() == 6
-    for _ in range(2):
-        training.save_training(run, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "history")).where("tag = 'mcc'").count() == 12
+    assert training.save_training(run, str(tmp_path)) == [0, 1, 2] and training.save_training(run, str(tmp_path)) == []
+    assert read_history(spark, str(tmp_path / "history")).where("tag = 'mcc'").count() == 6
     ready = str(tmp_path / "ready.parquet")
     lipo.withColumn("x", training.with_category(F.col("counts"), F.col("chain_index"), 4)).drop(
         "counts").write.parquet(ready)
