@@ -12,12 +12,15 @@ from strandline.plans.sizing import lookup_side
 TOKENIZER = "byte_bpe_50k.json"
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SEQUENCE_IDS = 2048
-BATCH_TEXTS = "1000"
+BATCH_SETTING, BATCH_TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Fewer texts in an Arrow batch than Spark's 10,000, of which JVM and Python each hold copies."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_TEXTS)
+    """Fewer texts in an Arrow batch than Spark's 10,000, of which JVM and Python each hold copies.
+
+    A stage's result is computed after the stage returns, so the setting stays; ``run`` puts the old one back.
+    """
+    spark.conf.set(BATCH_SETTING, BATCH_TEXTS)
 
 
 def _aside(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -44,19 +47,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _back(kept, docs, added)
 
 
+def _row_keys(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents with a ``__key`` for each pair of id and text, in the order of the ids; null without id.
+
+    Where no id has several texts, which is the rule, it is the id itself. Otherwise the different pairs of id and text hash are
+    numbered in ranges of the ids.
+    """
+    pairs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__hash"))
+    mixed = pairs.groupBy("doc_id").agg(F.min("__hash").alias("a"), F.max("__hash").alias("b")).where("a <> b")
+    if mixed.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    numbered = lookup_side(pairs.distinct().repartitionByRange("doc_id", "__hash").sortWithinPartitions(
+        "doc_id", "__hash").withColumn("__key", F.monotonically_increasing_id()))
+    return docs.withColumn("__hash", F.xxhash64("text")).join(numbered, ["doc_id", "__hash"], "left").drop("__hash")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near copies the document with the smallest id, and one row of it.
 
+    Rows of one id with different texts are judged apart, and only rows that repeat id and text count as one.
     Documents without id and documents without words are kept.
     """
     _small_batches(spark)
-    groups = jaccard.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lookup_side(others), "doc_id", "left_anti").select(docs.columns)
-    repeated = lookup_side(kept.where("doc_id is not null").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id"))
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(
-        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    keyed = _row_keys(spark, docs)
+    groups = jaccard.near_groups(keyed, SHINGLE_WORDS, SIMILAR_PERCENT, "__key")
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
+    kept = keyed.join(lookup_side(others), "__key", "left_anti")
+    repeated = lookup_side(kept.where("__key is not null").groupBy("__key").agg(
+        F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("__key"))
+    return kept.join(repeated, "__key", "left_anti").unionByName(
+        kept.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,9 +110,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each one's rows written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = shared_folder(spark, "pipeline")
-    for number, (_, stage) in enumerate(STAGES):
-        target = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(target)
-        docs = spark.read.parquet(target)
+    folder, before = shared_folder(spark, "pipeline"), spark.conf.get(BATCH_SETTING)
+    try:
+        for number, (_, stage) in enumerate(STAGES):
+            target = f"{folder}/{number}"
+            stage(spark, docs, sf_dir).write.parquet(target)
+            docs = spark.read.parquet(target)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs
