@@ -12,18 +12,21 @@ from strandline.llm.common import rows_of
 from strandline.plans.sizing import settle
 
 FOUND = "query_id long, vec_id long, score long"
-LIMIT = float(1 << 27)
+WHOLE = float(1 << 53)  # from here on every double is a whole number
+NONE_YET, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integer_components(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component in double precision, clamped to +-2^27.
+    """floor(scale * x) of every component, as doubles without a fraction.
 
     Null where the vector is null, empty, or holds a null or non-finite component.
     """
-    x = F.transform(vector, lambda v: F.floor(F.least(F.greatest(
-        v.cast("double") * scale, F.lit(-LIMIT)), F.lit(LIMIT))))
+    def whole(v):
+        x = v.cast("double") * scale
+        return F.when(F.abs(x) < WHOLE, F.floor(x).cast("double")).otherwise(x)
+
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.when(fine & (F.size(vector) > 0), x)
+    return F.when(fine & (F.size(vector) > 0), F.transform(vector, whole))
 
 
 class KDTree:
@@ -60,14 +63,15 @@ class KDTree:
             if end - start <= leaf or high[axis] == low[axis]:
                 continue
             half = (end - start) // 2
-            self.order[start:end] = rows[np.argpartition(inside[:, axis], half)]
+            self.order[start:end] = rows[np.argsort(inside[:, axis], kind="stable")] if inside.dtype == object else rows[
+                np.argpartition(inside[:, axis], half)]
             waiting += [(start, start + half, node), (start + half, end, node)]
 
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """The largest product that ``query`` can have with a point of each node's box."""
         return self.high @ np.maximum(query, 0) + self.low @ np.minimum(query, 0)
 
-    def search(self, query: np.ndarray, own: int, k: int, kth: float) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own: int, k: int, kth: int) -> list[tuple[int, int]]:
         """The ``k`` best (score, id), ties to the smaller id, leaving out ``own``.
 
         Products under ``kth`` are not looked for: ``k`` rows elsewhere are known to reach it.
@@ -100,10 +104,15 @@ class KDTree:
         return [(score, -negative) for score, negative in best]
 
 
-def _number_type(points: np.ndarray, queries: np.ndarray):
-    """Doubles where all sums stay exact in them, else 64-bit integers."""
-    most = np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * points.shape[1]
-    return np.float64 if most < 2 ** 52 else np.int64
+def _exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in numbers whose products and sums are exact: doubles or 64-bit integers while these hold every sum
+    there can be, else Python's integers."""
+    most = float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * points.shape[1]
+    if most < 2 ** 52:
+        return points, queries
+    if most < 2 ** 62 and max(np.abs(points).max(initial=0), np.abs(queries).max(initial=0)) < 2 ** 62:
+        return points.astype(np.int64), queries.astype(np.int64)
+    return tuple(np.array([[int(x) for x in row] for row in rows.tolist()], object).reshape(rows.shape) for rows in (points, queries))
 
 
 def _search_shard(k: int, leaf: int):
@@ -114,11 +123,12 @@ def _search_shard(k: int, leaf: int):
             points = right[wide == width]
             if points.empty:
                 continue
-            p, q = np.stack(points["vector"].to_list()), np.stack(queries["query"].to_list())
-            kind = _number_type(p.astype(np.float64), q.astype(np.float64))
-            tree = KDTree(p.astype(kind), points["vec_id"].to_numpy(), leaf)
-            for own, query, kth in zip(queries["query_id"], q.astype(kind), queries["kth"].fillna(-np.inf)):
+            p, q = _exact(np.stack(points["vector"].to_list()), np.stack(queries["query"].to_list()))
+            tree = KDTree(p, points["vec_id"].to_numpy(), leaf)
+            for own, query, kth in zip(queries["query_id"].tolist(), q, queries["kth"].tolist()):
                 found += [(own, other, score) for score, other in tree.search(query, own, k, kth)]
+        if any(not NONE_YET <= score <= MOST for _, _, score in found):
+            raise OverflowError("an inner product is beyond a 64-bit integer")
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return search
@@ -150,7 +160,7 @@ def top_products(
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``; ties go to the smaller key, all
     rows where there are fewer than ``k``. Rows with null key, null or empty vector, or null or
     non-finite components take no part; only vectors of the same length are compared.
-    Components beyond 2^27 after scaling are clamped. Repeated rows of one key count as one (any
+    Scores are exact whatever the components; one that a long can't hold is an error. Repeated rows of one key count as one (any
     of them, the same in every run). Other columns are not read.
     """
     whole = settle(vectors.select(F.col(key).cast("long").alias("vec_id"), queries.alias("asks"),
@@ -173,10 +183,10 @@ def top_products(
 
     first = settle(searched(asking.select(
         "query_id", "query", F.col("home").alias("shard"), "block",
-        F.lit(None).cast("double").alias("kth"))))
+        F.lit(NONE_YET).cast("long").alias("kth"))))
     bound = first.groupBy("query_id").agg(F.when(
-        F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("kth"))
-    bounded = asking.join(bound, "query_id", "left")
+        F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NONE_YET)).alias("kth"))
+    bounded = asking.join(bound, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE_YET)))
     others = bounded.select("*", _numbers(shards).alias("shard")).where(
         F.col("shard") != F.col("home")).drop("home")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

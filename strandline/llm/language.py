@@ -42,6 +42,7 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
 }
 OTHER = len(SCRIPTS)
+MOST_LANGUAGES = 1024
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -112,27 +113,37 @@ class Model:
     candidates: np.ndarray    # scripts x languages, boolean
 
 
-def sample_share(labelled: DataFrame, lang: str, per_language: int) -> DataFrame:
-    """Share of each language's texts that is expected to give ``per_language`` of them."""
-    return labelled.groupBy(lang).agg(
-        F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("__share"))
+def sample_bounds(known: DataFrame, per_language: int) -> dict[str, float]:
+    """The hash of a text, from 0 to 1, up to which each language's texts are drawn: about ``per_language`` different ones, and at
+    least one."""
+    found = known.groupBy("lang").agg(
+        F.greatest(F.min(_drawn()), F.lit(float(per_language)) / F.approx_count_distinct("text", 0.02)).alias("bound")).limit(
+        MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; clean the labels first")
+    return {r["lang"]: min(1.0, r["bound"]) for r in found}
+
+
+def _drawn() -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) / (1 << 30)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 2000,
         smooth: float = 0.5, least_share: float = 0.01) -> Model:
-    """Learn from about ``per_language`` texts of every language, chosen by a hash of the text.
+    """Learn from about ``per_language`` different texts of every language, chosen by a hash of the text.
 
-    The driver holds the features of the languages: at most BINS numbers for each. A language
+    Copies count once, so a text that fills a language doesn't keep others out, and every language has a text. The driver holds the
+    features of the languages: at most BINS numbers for each, of at most ``MOST_LANGUAGES``. A language
     is a candidate for a script that ``least_share`` of its letters are in.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
-    shares = {r["lang"]: r["__share"] for r in sample_share(known, "lang", per_language).collect()}
-    if not shares:
+    bounds = sample_bounds(known, per_language)
+    if not bounds:
         return Model([], np.zeros((BINS, 0), np.float32), np.zeros((OTHER + 1, 0), bool))
-    drawn = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    sample = known.where(drawn < share)
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+    sample = known.where(_drawn() <= bound).groupBy("lang", F.xxhash64("text").alias("copy")).agg(
+        F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -150,7 +161,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
 
     counts = sample.mapInArrow(lambda batches: tidy(count(batches)), "lang string, bin long, n long").groupBy("lang", "bin").agg(
         F.sum("n").alias("n")).toPandas()
-    langs = sorted(shares)
+    langs = sorted(bounds)
     table = np.zeros((BINS + OTHER + 1, len(langs)))
     table[counts["bin"].to_numpy(int), [langs.index(x) for x in counts["lang"]]] = counts["n"]
     bins, scripts = table[:BINS] + smooth, table[BINS:]
@@ -224,11 +235,12 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """Add ``lang_pred``, ``score`` and ``spans`` to the columns of ``docs``.
 
     The language is that of most letters in the spans; the score is the share of all letters in
-    them. ``und`` with score 0 where a text is null or has no letter, or the model knows no
+    them, no probability. ``und`` with score 0 where a text is null or has no letter, or the model knows no
     language. Letters of a script in which no language was learned count for none; a text of
     such letters alone gets the first language with score 0. Columns of those names in ``docs`` are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast object would be pickled by the name of its class, which executors may lack.
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.candidates))
     added = ["lang_pred", "score", "spans"]
     kept = docs.drop(*added)
     number = kept.columns.index(text)
@@ -238,7 +250,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         for batch in batches:
             texts = batch.column(number).to_pylist()
             for start, stop in slices(texts, SLICE_CHARS):
-                found = list(label(texts[start:stop], shared.value, penalty))
+                found = list(label(texts[start:stop], Model(*shared.value), penalty))
                 langs, scores, spans = zip(*found)
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(

@@ -1,8 +1,10 @@
 """Language ID: spans of mixed texts, accuracy on texts not learned from, edges of the domain."""
 
 import itertools
+import pickle
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest_tables import TABLES, text_rows
@@ -46,3 +48,29 @@ def test_spans_scripts_and_edges(spark, shared):
     empty = language.fit(train.limit(0))
     assert {r.lang_pred for r in language.predict(text_rows(spark, texts), empty).collect()} == {"und"}
     assert language.predict(text_rows(spark, texts).limit(0), model).collect() == []
+
+
+def test_languages_of_one_repeated_text(spark, shared):
+    texts = {"en": "the house and the garden", "de": "das haus und der garten", "fr": "la maison et le jardin",
+             "es": "la casa y el jardín que", "ru": "дом и сад с деревом"}
+    rows = [(t, lang) for lang, t in texts.items() for _ in range(3000)] + [("another text of many", "en")] * 2
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=1)
+    assert model.langs == sorted(texts) and model.candidates.any(0).all()
+    got = language.predict(text_rows(spark, list(texts.values())), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == list(texts) and all(r.score > 0 for r in got)
+
+
+def test_too_many_languages(spark, shared, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    rows = spark.createDataFrame([("abc", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.fit(rows)
+
+
+def test_broadcast_needs_no_package(spark, shared, monkeypatch):
+    model, sent = language.fit(spark.createDataFrame([("abc def", "x")], "text string, lang string")), []
+    context = type(spark.sparkContext)
+    plain = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or plain(self, value))
+    assert language.predict(text_rows(spark, ["abc"]), model).first().lang_pred == "x"
+    assert len(sent) == 1 and b"strandline" not in pickle.dumps(sent[0])

@@ -77,3 +77,39 @@ def test_top_products(spark, shared, seed, shard, block, leaf):
         best = sorted((-scores[q, i], i) for i in range(len(points)) if i != q)[:5]
         expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def whole(x):
+    return int(np.floor(np.float64(256) * np.float64(x)))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 3e6])
+@pytest.mark.parametrize("shard", [4096, 8])
+def test_scores_of_huge_components(spark, shared, scale, shard):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=5) * scale).tolist()) for i in range(40)]
+    if scale == 1e6:
+        rows += [(101, [1e6, 0.0, 0.0, 0.0, 0.0]), (102, [6e5, 0.0, 0.0, 0.0, 0.0]), (150, [9e5, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in kdtree.top_products(
+        df, F.col("vec_id") % 10 == 0, shard_rows=shard, leaf=4).collect()}
+    cells = {i: [whole(x) for x in v] for i, v in rows}
+    for query in (i for i in cells if i % 10 == 0):
+        best = sorted((-sum(a * b for a, b in zip(cells[query], v)), i) for i, v in cells.items() if i != query)[:5]
+        assert [got[query, n + 1] for n in range(5)] == [(i, -score) for score, i in best]
+
+
+def test_probe_of_large_components(spark, shared):
+    df = spark.createDataFrame([(0, [1e6, 0.0]), (1, [6e5, 0.0]), (2, [9e5, 0.0])], "vec_id long, embedding array<double>")
+    got = kdtree.top_products(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 58982400000000000), (1, 39321600000000000)]
+
+
+def test_scores_beyond_a_long(spark, shared):
+    small = [(0, [1e13, 1.0]), (1, [1.0, -3.0]), (2, [1e-3, 5.0])]
+    got = kdtree.top_products(spark.createDataFrame(small, "vec_id long, embedding array<double>"), F.col("vec_id") == 1).collect()
+    cells = {i: [whole(x) for x in v] for i, v in small}
+    assert {(r.vec_id, r.score) for r in got} == {(i, sum(a * b for a, b in zip(cells[1], cells[i]))) for i in (0, 2)}
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e30, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a 64-bit integer"):
+        kdtree.top_products(df, F.col("vec_id") == 0).collect()
