@@ -46,4 +46,16 @@ def test_no_documents(spark, shared):
 def test_run_from_files(spark, shared, tmp_path):
     spark.createDataFrame([(1, "the text", "en", "s", 8), (2, "the text", "en", "s", 8)],
                           "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/t/documents.parquet")
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
     assert [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/t").collect()] == [1]
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == before
+
+
+def test_texts_of_repeated_ids_are_judged_apart(spark, shared):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, a), (8, a), (7, b), (9, b), (10, c), (10, c), (None, a), (7, None), (7, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [(7, a), (7, b), (10, c), (None, a), (7, None), (7, "")], key=repr)
