@@ -206,14 +206,19 @@ def _rule(name: str, size: int, scale: float) -> str:
             f"from range(0, {size}) t(i))")
 
 
-def _weighted(source: str, key: str, weight: str) -> str:
-    """Draws over exact running sums: weights in whole units of the power of two that brings their sum under 2^61."""
-    return f"""with weighted as (select {key}, {weight} as w from {source}),
+def _units(source: str, key: str, weight: str) -> str:
+    """Weights in whole units of the power of two that brings their sum under 2^61."""
+    return f"""weighted as (select {key}, {weight} as w from {source}),
     positive as (select * from weighted where w > 0 and not isnan(w)),
     top as (select (select min(e) from range(-1080, 1026) t(e) where power(2.0::double, e) > m) as e from (select max(w) as m from positive)),
     coarse as (select sum(floor(w * power(2.0::double, 31 - e))::hugeint + 1) as c from positive, top),
     scale as (select 92 - e - (select min(k) from range(0, 120) t(k) where (1::hugeint << k) > c) as s from coarse, top),
-    units as (select {key}, floor(w * power(2.0::double, s))::hugeint as q from positive, scale),
+    units as (select {key}, floor(w * power(2.0::double, s))::hugeint as q from positive, scale)"""
+
+
+def _weighted(source: str, key: str, weight: str) -> str:
+    """Draws over exact running sums."""
+    return f"""with {_units(source, key, weight)},
     ends as (
         select {key}, sum(q) over (order by md5({key}::varchar), {key}::varchar) as hi from units where q > 0),
     draws as (
@@ -222,6 +227,8 @@ def _weighted(source: str, key: str, weight: str) -> str:
     select {key}, draw from draws asof join ends on t < hi"""
 
 
+ORDER_WEIGHT = "case when o_orderstatus <> 'P' then o_totalprice::double * (o_orderkey % 7) end"
+
 FOLD_SCORES = "with " + ", ".join(
     f"w{f} as (select list(w order by i) filter (where i < {WIDTH}) as a, "
     f"list(w order by i) filter (where i >= {WIDTH}) as b from {_rule(f'{f}.head.weight', 2 * WIDTH, 4.0)}), "
@@ -477,8 +484,11 @@ ORACLE = {
         round(1.0::double / count(*) over (partition by l_returnflag || l_linestatus), 10) as weight from lineitem""",
     "weighted_sample": _sample("documents", "doc_id", "lang"),
     "weighted_sample_orders": _sample("orders", "o_orderkey", "o_orderpriority"),
-    "weighted_sample_general": _weighted("orders", "o_orderkey", "case when o_orderstatus <> 'P' "
-                                         "then o_totalprice::double * (o_orderkey % 7) end"),
+    "weighted_sample_general": _weighted("orders", "o_orderkey", ORDER_WEIGHT),
+    "weight_shares": f"""with {_units("orders", "o_orderkey", ORDER_WEIGHT)}
+    select o_orderkey, coalesce(q, 0)::bigint as units,
+        round(coalesce(q, 0)::double / (select sum(q)::double from units), 12) as share
+    from orders left join units using (o_orderkey)""",
     "shuffle_position": """select o_orderkey, row_number() over (
         order by md5('42|' || o_orderkey), o_orderkey) - 1 as position from orders""",
     "metric_bundle": _bundle("""select 0 as g, case when label < 5 then 1 else 0 end as y,
@@ -549,3 +559,6 @@ ORACLE = {
     select label, round(classification, 8) as classification, round(consistency, 8) as consistency,
            round(classification + consistency, 8) as total from parts""",
 }
+ORACLE["score_outcomes"] = f"""
+    select doc_id, Probability, Prediction, null as reason from ({ORACLE['ensemble_score']})
+    union all select doc_id, null, null, reason from ({ORACLE['score_rejects']})"""

@@ -80,13 +80,20 @@ def _long(df, key, array, name):
 # ---- scoring
 
 def ensemble_score(spark, sf_dir):
-    return _ensemble(spark, sf_dir, scoring.score_records)
+    return _ensemble(spark, sf_dir, scoring.score_records).drop("embedding")
 
 
 def score_rejects(spark, sf_dir):
     return _ensemble(spark, sf_dir, scoring.score_rejects).select("doc_id", "lang", "reason")
 
 
+def score_outcomes(spark, sf_dir):
+    """Predictions and rejects of one scoring pass, side by side."""
+    good, bad = _ensemble(spark, sf_dir, scoring.score_both)
+    return good.select("doc_id", "Probability", "Prediction").unionByName(
+        bad.select("doc_id", "reason"), allowMissingColumns=True)
+
+
 def _ensemble(spark, sf_dir, part):
     labelled = _features(spark, sf_dir).join(
         _table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -96,7 +103,7 @@ def _ensemble(spark, sf_dir, part):
     records = _table(spark, sf_dir, "documents").join(_features(spark, sf_dir), "doc_id", "left")
     return part(
         records, [F.col("embedding")], models, sequence="text", category="lang",
-        allowed=ALLOWED, no_category=NO_CATEGORY).drop("embedding")
+        allowed=ALLOWED, no_category=NO_CATEGORY)
 
 
 def _linear_models(spark):
@@ -288,8 +295,17 @@ def weighted_sample_orders(spark, sf_dir):
 def weighted_sample_general(spark, sf_dir):
     """Orders drawn by price times a small factor: some weights are zero, some null."""
     orders = _table(spark, sf_dir, "orders")
-    weight = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double") * (F.col("o_orderkey") % 7))
-    return sampling.weighted_sample(orders, weight, "o_orderkey").select("o_orderkey", "draw")
+    return sampling.weighted_sample(orders, _order_weight(), "o_orderkey").select("o_orderkey", "draw")
+
+
+def _order_weight():
+    return F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double") * (F.col("o_orderkey") % 7))
+
+
+def weight_shares(spark, sf_dir):
+    """The whole units that ``weighted_sample_general`` draws from, and each order's share of them."""
+    return sampling.weight_shares(_table(spark, sf_dir, "orders"), _order_weight(), "o_orderkey").withColumn(
+        "share", F.round("share", 12))
 
 
 def shuffle_position(spark, sf_dir):
@@ -487,6 +503,7 @@ def _holdout_run(spark, sf_dir, **options):
 QUERIES = {
     "ensemble_score": ensemble_score,
     "score_rejects": score_rejects,
+    "score_outcomes": score_outcomes,
     "fold_scores": fold_scores,
     "ensemble_score_blocked": ensemble_score_blocked,
     "predict_rules": predict_rules,
@@ -511,6 +528,7 @@ QUERIES = {
     "weighted_sample": weighted_sample,
     "weighted_sample_orders": weighted_sample_orders,
     "weighted_sample_general": weighted_sample_general,
+    "weight_shares": weight_shares,
     "shuffle_position": shuffle_position,
     "metric_bundle": metric_bundle,
     "metric_bundle_by_lang": metric_bundle_by_lang,
