@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.common import tidy, worker_state
-from strandline.llm.tokens import Memo, slices
+from strandline.llm.tokens import Memo, digests, numbered, slices, split_once
 
 BLANK = "▁"
 CUT = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
@@ -87,7 +87,7 @@ class PieceEncoder(Memo):
         self.spelled = np.full((len(self.names), self.longest), -1, np.int64)
         for row, name in enumerate(self.names.values()):
             self.spelled[row, :len(name)] = [ord(c) for c in name]
-        super().__init__()
+        super().__init__(ids=size)
 
     def _symbol(self, text: str) -> int | None:
         """Number of a piece, or of a character that is none."""
@@ -236,11 +236,13 @@ class PieceEncoder(Memo):
         return np.array(out, np.uint32)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Number new words; long ones are cut where no piece holds the two characters beside."""
+        """Keep the ids of new words; long ones are cut where no piece holds the two characters beside."""
         runs = [c for c in chunks if BLANK * 2 in c or "\0" in c]
         self._keep(runs, [np.array(self.model.encode(c.replace(BLANK, " ")[1:]), np.uint32) for c in runs])
-        parts = {c: self._cut(c) for c in chunks if c not in self.numbers}
-        new = list(dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.numbers))
+        odd = set(runs)
+        parts = {c: self._cut(c) for c in chunks if c not in odd}
+        whole = {c for c, ps in parts.items() if len(ps) == 1}
+        new = [*whole, *self.missing(list(dict.fromkeys(p for ps in parts.values() if len(ps) > 1 for p in ps if p not in whole)))]
         at = 0
         while at < len(new):
             size, stop = 0, at
@@ -250,8 +252,14 @@ class PieceEncoder(Memo):
             self._keep(new[at:stop], self.encode_words(new[at:stop]))
             at = stop
         several = [(c, ps) for c, ps in parts.items() if len(ps) > 1]
-        self._keep([c for c, _ in several], [np.concatenate([
-            self.ids[self.starts[n]:self.starts[n + 1]] for n in map(self.numbers.get, ps)]) for _, ps in several])
+        if several:
+            ids, lengths = self.young.gather(self.young.find(digests([p for _, ps in several for p in ps])))
+            firsts = np.cumsum([0, *(len(ps) for _, ps in several[:-1])])
+            self.young.keep(digests([c for c, _ in several]), ids, np.add.reduceat(lengths, firsts))
+
+    def _keep(self, names: list[str], arrays: list[np.ndarray]) -> None:
+        if names:
+            self.young.keep(digests(names), np.concatenate(arrays), np.array([len(a) for a in arrays], np.int64))
 
     def _cut(self, word: str) -> list[str]:
         if len(word) <= 24:
@@ -261,13 +269,30 @@ class PieceEncoder(Memo):
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as the library gives them; of a null one, none."""
-        flat, sizes = [], np.zeros(len(texts), np.int64)
+        self.turn()
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        plain, normal, apart, flat, sizes = [], [], [], [], []
         for i, text in enumerate(texts):
-            if text:
-                words = CUT.split(self.model.normalize(text))
-                sizes[i] = len(words)
+            if not text:
+                continue
+            text = self.model.normalize(text)
+            if text[:1] == BLANK and BLANK * 2 not in text:
+                plain.append(i)
+                normal.append(text[1:])
+            else:
+                words = CUT.split(text)
+                apart.append(i)
+                sizes.append(len(words))
                 flat += words
-        return self.joined(flat, sizes)
+        if apart:
+            names, codes = numbered(flat)
+            for i, ids in zip(apart, self.joined(self.known(names)[codes], np.array(sizes))):
+                out[i] = ids
+        if plain:
+            names, codes, sizes = split_once(normal, BLANK)
+            for i, ids in zip(plain, self.joined(self.known([BLANK + n for n in names])[codes], sizes)):
+                out[i] = ids
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, blanks back to spaces, the first one dropped."""
@@ -275,9 +300,13 @@ class PieceEncoder(Memo):
             spelled = [(self.names.get(i, "").replace(BLANK, " ")).encode() for i in range(self.size)]
             for value, i in enumerate(self.bytes.tolist()):
                 spelled[i] = bytes([value])
-            self.spelling = spelled
-        raw = b"".join([self.spelling[i] for i in ids.tolist()])
-        text = raw.decode("utf-8", "replace")
+            sizes = np.array([len(x) for x in spelled])
+            self.spelling = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
+        letters, starts, sizes = self.spelling
+        lengths = sizes[ids]
+        take = np.repeat(starts[ids] - np.cumsum(lengths) + lengths, lengths)
+        take += np.arange(len(take))
+        text = letters[take].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 

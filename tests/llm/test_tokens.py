@@ -29,15 +29,27 @@ def library():
     return Tokenizer.from_file(BPE)
 
 
-@pytest.mark.parametrize("memo", [50, tokens.MEMO])
-def test_byte_pairs_as_the_library(library, memo):
-    coder, texts = tokens.ChunkEncoder(BPE, memo), texts_of(1)
+@pytest.mark.parametrize("limit", [0, 20_000, tokens.MEMO_BYTES])
+def test_byte_pairs_as_the_library(library, limit):
+    coder, texts = tokens.ChunkEncoder(BPE, limit), texts_of(1)
     for start in range(0, len(texts), 100):
         part = texts[start:start + 100]
         expected = [library.encode(t or "", add_special_tokens=False).ids for t in part]
         assert [ids.tolist() for ids in coder.encode(part)] == expected
 
 
+def test_generations_stay_within_their_bytes():
+    coder = tokens.ChunkEncoder(BPE, 400_000)
+    rng = random.Random(4)
+    most = 0
+    for _ in range(300):
+        words = [f"w{rng.randint(0, 10 ** 6):x}" for _ in range(100)] + ["often", "again"]
+        coder.encode([" ".join(words)])
+        most = max(most, coder.young.bytes, coder.old.bytes)
+    assert 0 < most < 800_000 and coder.old.count and coder.young.find(tokens.digests(["often", "never"])).tolist()[1] == -1
+    assert coder.missing(["often", "again", "never"]) == ["never"]
+
+
 def test_pieces_as_the_library():
     coder, texts = pieces.PieceEncoder(PIECES), texts_of(2)
     got = coder.encode(texts)
