@@ -131,7 +131,8 @@ class Links:
         floor = -2.0 if room >= 2 else 1 - room ** 2 / 2 - SLACK
         for at in range(0, len(xs), 1024):
             cosines = left[at:at + 1024] @ right.T
-            i, j = np.nonzero(cosines >= np.float32(floor))
+            # Few are left: their flat places are found many times faster than pairs of indices.
+            i, j = np.divmod(np.flatnonzero(cosines.ravel() >= np.float32(floor)), len(ys))
             close = cosines[i, j].astype(np.float64)
             p, q = xs[at + i], ys[j]
             both = a.radii[p] + b.radii[q]
