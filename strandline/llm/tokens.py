@@ -19,9 +19,9 @@ STRETCH = re.compile(r"([^\W\d_]+)([.,;:!?]*\n?)([^\W\d_]*)")
 UNEVEN = (r"(^|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) ")
 FIRST = "\0"
 NOTHING = FIRST * 2
-MEMO_BYTES = 56 << 20  # a generation's; there are two
+MEMO_BYTES = 32 << 20  # a generation's; there are two. A table of 2^20 places fits, one of twice as many does not
 JOINED = 200
-TEXT_CHARS = 1 << 21
+TEXT_CHARS = 1 << 20
 
 
 def digests(names: list[str]) -> np.ndarray:
