@@ -125,16 +125,31 @@ class Links:
             if self._size(a, np.array([x]))[0] > 1:
                 self._inside(x)
             return
-        left, right = a.points[a.centers[xs]].astype(np.float32), b.points[b.centers[ys]].astype(np.float32)
+        for ps in self._by_radius(a, xs):
+            for qs in self._by_radius(b, ys):
+                yield from self._compare(ps, qs, inner)
+        if inner:
+            yield from ((c, c) for c in xs.tolist() if self._size(a, np.array([c]))[0] > 1)
+
+    @staticmethod
+    def _by_radius(tree: CoverTree, nodes: np.ndarray) -> list[np.ndarray]:
+        """Nodes of single places and all others apart, so that a few wide nodes don't loosen the bound for all."""
+        wide = tree.radii[nodes] > 0
+        return [part for part in (nodes[~wide], nodes[wide]) if len(part)]
+
+    def _compare(self, ps: np.ndarray, qs: np.ndarray, inner: bool):
+        """Settle pairs of nodes by their bounds; returns the pairs still open."""
+        a, b = self.a, self.b
+        left, right = a.points[a.centers[ps]].astype(np.float32), b.points[b.centers[qs]].astype(np.float32)
         # What the largest radii leave out is left out at once; few pairs are looked at closely.
-        room = self.reach + a.radii[xs].max() + b.radii[ys].max()
+        room = self.reach + a.radii[ps].max() + b.radii[qs].max()
         floor = -2.0 if room >= 2 else 1 - room ** 2 / 2 - SLACK
-        for at in range(0, len(xs), 1024):
+        for at in range(0, len(ps), 1024):
             cosines = left[at:at + 1024] @ right.T
             # Few are left: their flat places are found many times faster than pairs of indices.
-            i, j = np.divmod(np.flatnonzero(cosines.ravel() >= np.float32(floor)), len(ys))
+            i, j = np.divmod(np.flatnonzero(cosines.ravel() >= np.float32(floor)), len(qs))
             close = cosines[i, j].astype(np.float64)
-            p, q = xs[at + i], ys[j]
+            p, q = ps[at + i], qs[j]
             both = a.radii[p] + b.radii[q]
             every = np.sqrt(np.maximum(0, 2 - 2 * (close - SLACK))) + both <= self.reach
             some = (np.sqrt(np.maximum(0, 2 - 2 * (close + SLACK))) - both <= self.reach) & ~every
@@ -150,8 +165,6 @@ class Links:
                     yield u, v
                 else:
                     self._members(u, v)
-        if inner:
-            yield from ((c, c) for c in xs.tolist() if self._size(a, np.array([c]))[0] > 1)
 
     @staticmethod
     def _size(tree: CoverTree, nodes: np.ndarray) -> np.ndarray:
