@@ -18,6 +18,8 @@ WHITESPACE = "".join(map(chr, [
 # of a character class).
 NOT_A_TOKEN = r"\p{Z}\p{Cc}\p{Cf}\x{FFFD}"
 
+SLICE_BYTES = 1 << 18  # text counted at a time, so that the arrays of 24 bytes for each of them stay small
+
 
 def strip(c: Column) -> Column:
     """Remove white space of every kind at both ends (plain ``trim`` knows only blanks)."""
@@ -47,7 +49,8 @@ def length_bin(length: Column, width: int = 10, top: int = 190) -> Column:
 def residue_counts(sequence: Column, residues: str) -> Column:
     """Occurrences of each ASCII letter in the whole sequence, as array<double>.
 
-    One pass over the bytes; built-in ``replace`` or ``regexp_count`` needs one per letter.
+    One pass over the bytes; built-in ``replace`` or ``regexp_count`` needs one per letter. A batch holds up to 64 MB of
+    text; it is counted in slices of bytes, which may end inside a text.
     """
     place = np.full(256, len(residues))
     place[list(residues.encode("ascii"))] = np.arange(len(residues))
@@ -55,11 +58,16 @@ def residue_counts(sequence: Column, residues: str) -> Column:
     @F.arrow_udf("array<double>")
     def batch(texts: pa.Array) -> pa.Array:
         valid = texts.is_valid().to_numpy(zero_copy_only=False)
-        packed = texts.drop_null().cast(pa.large_binary())
-        ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1]
-        raw = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(packed) else np.zeros(0, np.uint8)
+        packed = texts.cast(pa.large_binary())
         width = len(residues) + 1
-        cells = np.repeat(np.arange(len(packed)) * width, np.diff(ends) if len(packed) else 0) + place[raw]
-        table = np.bincount(cells, minlength=len(packed) * width).reshape(-1, width).astype(float)
-        return to_lists(table[:, :-1], valid)
+        table = np.zeros((len(packed), width))
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1] if len(packed) else [0]
+        raw = np.frombuffer(packed.buffers()[2] or b"", np.uint8)
+        for start in range(ends[0], ends[-1], SLICE_BYTES):
+            stop = min(start + SLICE_BYTES, ends[-1])
+            first, last = np.searchsorted(ends, start, "right") - 1, np.searchsorted(ends, stop)
+            lengths = np.diff(np.clip(ends[first:last + 1], start, stop))
+            cells = np.repeat(np.arange(last - first) * width, lengths) + place[raw[start:stop]]
+            table[first:last] += np.bincount(cells, minlength=(last - first) * width).reshape(-1, width)
+        return to_lists(table[valid, :-1], valid)
     return batch(sequence)

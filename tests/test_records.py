@@ -1,5 +1,8 @@
 """Cleaning, dictionaries, encoding, union."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,29 @@ def test_residue_counts(spark):
     assert got == [[1.0, 2.0, 1.0], [0.0, 0.0, 0.0], None]
 
 
+def test_residue_counts_take_little_memory_beside_long_texts(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda function: lambda column: function)
+    count = residue_counts(None, "AKL")
+    texts = pa.array([None, "K" * 700_001 + "A", "", "é" * 400_000 + "LL", *["xAKL" * 1_000] * 500])
+    tracemalloc.start()
+    got = count(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:4].to_pylist() == [None, [1.0, 700_001.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 2.0]]
+    assert got[4:].to_pylist() == [[1_000.0] * 3] * 500
+    assert peak < 4 * texts.nbytes
+
+
+def test_residue_counts_of_null_slots_and_slices(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda function: lambda column: function)
+    count = residue_counts(None, "AKL")
+    held = pa.Array.from_buffers(pa.string(), 3, [pa.py_buffer(b"\x05"), pa.array([0, 2, 4, 6], pa.int32()).buffers()[1],
+                                                  pa.py_buffer(b"AAKKLL")])  # the null in the middle holds KK
+    assert count(held).to_pylist() == [[2.0, 0.0, 0.0], None, [0.0, 0.0, 2.0]]
+    assert count(held.slice(2)).to_pylist() == [[0.0, 0.0, 2.0]]
+    assert count(held.slice(0, 0)).to_pylist() == [] and count(pa.nulls(2, pa.string())).to_pylist() == [None, None]
+
+
 def test_clean_route(spark):
     rows = spark.createDataFrame([
         (0, " KLA ", " c12 "), (1, "KL", "C0"), (2, "KL", "C7"), (3, "KL", None), (4, None, "C6"),
