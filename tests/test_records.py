@@ -64,6 +64,19 @@ def test_residue_counts_take_little_memory_beside_long_texts(monkeypatch):
     assert peak < 4 * texts.nbytes
 
 
+def test_residue_counts_memory_does_not_grow_with_the_batch(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda function: lambda column: function)
+    count = residue_counts(None, "abcdefghijklmnopqrstuvwxyz")
+    peaks = []
+    for times in (1, 8):
+        texts = pa.array(["the lazy dog " * 5_000 * times] * 10)
+        tracemalloc.start()
+        assert count(texts)[9].as_py()[4] == 5_000 * times
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_residue_counts_of_null_slots_and_slices(monkeypatch):
     monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda function: lambda column: function)
     count = residue_counts(None, "AKL")
